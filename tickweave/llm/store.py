@@ -1,0 +1,66 @@
+"""Written intermediate tables and size-derived partition counts."""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import math
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a local master gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tickweave-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
+
+    The table is deleted when the driver's Python ends, or earlier by discard().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tickweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_clear)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tickweave_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that materialize() returned."""
+    path = df._tickweave_path
+    _delete(df.sparkSession, path)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
+def _clear() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
+def partitions_for(df: DataFrame, each: int, least: int | None = None) -> int:
+    """Partitions of about ``each`` bytes for Catalyst's size estimate of df; at least spark.sql.shuffle.partitions."""
+    spark = df.sparkSession
+    least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, math.ceil(min(size, 1 << 50) / each))
