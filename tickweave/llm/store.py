@@ -59,8 +59,11 @@ def _clear() -> None:
 
 
 def partitions_for(df: DataFrame, each: int, least: int | None = None) -> int:
-    """Partitions of about ``each`` bytes for Catalyst's size estimate of df; at least spark.sql.shuffle.partitions."""
-    spark = df.sparkSession
-    least = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, math.ceil(min(size, 1 << 50) / each))
+    """Partitions of about ``each`` bytes for the tables that df reads; at least spark.sql.shuffle.partitions.
+
+    Inputs whose size Catalyst does not know, such as local rows, count as nothing.
+    """
+    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(least, math.ceil(sum(x for x in sizes if x < 1 << 60) / each))
