@@ -16,21 +16,21 @@ def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
     the whole key. ``last`` carries the last value that is not null. order must tell rows apart where ties matter.
     """
     bucket = F.expr(f"cast(floor(`{order[0]}` / {width}) as bigint)")
-    rows = df.withColumn("__b", bucket)
+    rows = df.withColumn("__bucket", bucket)
     last_of = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
-    totals = rows.groupBy(*keys, "__b").agg(*(last_of(c).alias(f"__{n}") if f == "last" else _FOLD[f](c).alias(f"__{n}") for n, (f, c) in columns.items()))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__b", *(_FOLD[f](f"__{n}").over(before).alias(f"__{n}") for n, (f, _) in columns.items()))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*keys, "__bucket").agg(*(last_of(c).alias(f"__of_{n}") if f == "last" else _FOLD[f](c).alias(f"__of_{n}") for n, (f, c) in columns.items()))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "__bucket", *(_FOLD[f](f"__of_{n}").over(before).alias(f"__of_{n}") for n, (f, _) in columns.items()))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *(_FOLD[f](c).over(inside).alias(n) for n, (f, c) in columns.items()))
     # carry has one row for each bucket; keys may be null
-    on = [local[k].eqNullSafe(carry[k]) for k in [*keys, "__b"]]
-    both = local.join(carry, on, "left").drop(*(carry[k] for k in [*keys, "__b"]))
+    on = [local[k].eqNullSafe(carry[k]) for k in [*keys, "__bucket"]]
+    both = local.join(carry, on, "left").drop(*(carry[k] for k in [*keys, "__bucket"]))
     for n, (f, _) in columns.items():
-        c = F.col(f"__{n}")
+        c = F.col(f"__of_{n}")
         whole = {"sum": F.coalesce(F.col(n), F.lit(0)) + F.coalesce(c, F.lit(0)), "max": F.greatest(n, c), "min": F.least(n, c), "last": F.coalesce(F.col(n), c)}[f]
-        both = both.withColumn(n, whole).drop(f"__{n}")
-    return both.drop("__b")
+        both = both.withColumn(n, whole).drop(f"__of_{n}")
+    return both.drop("__bucket")
 
 
 def closed_window(df: DataFrame, keys: list[str], time: str, columns: dict[str, str], width) -> DataFrame:
@@ -41,18 +41,18 @@ def closed_window(df: DataFrame, keys: list[str], time: str, columns: dict[str,
     """
     size = width if not isinstance(width, int) else F.lit(width)
     bucket = F.floor(F.col(time) / size).cast("bigint")
-    copies = df.withColumn("__w", size).withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__b", bucket + F.col("__k"))
+    copies = df.withColumn("__w", size).withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__k"))
     # RANGE offsets must be literals, so time is counted from the bucket before: a window starts after width fewer units
     if isinstance(width, int):
-        over = Window.partitionBy(*keys, "__b").orderBy(time).rangeBetween(-width, 0)
+        over = Window.partitionBy(*keys, "__bucket").orderBy(time).rangeBetween(-width, 0)
         summed = copies.select("*", *(F.sum(c).over(over).alias(n) for n, c in columns.items()))
-        return summed.where("__k = 0").drop("__k", "__b", "__w")
+        return summed.where("__k = 0").drop("__k", "__bucket", "__w")
     # width differs between keys: subtract the running sum of what left the window
-    leave = copies.select(*keys, "__b", (F.col(time) + F.col("__w") + 1).alias("__t"), F.lit(1).alias("__x"), *(F.col(c).alias(f"__{n}") for n, c in columns.items()))
-    stay = copies.withColumn("__t", F.col(time)).withColumn("__x", F.lit(0)).select("*", *(F.col(c).alias(f"__{n}") for n, c in columns.items()))
+    leave = copies.select(*keys, "__bucket", (F.col(time) + F.col("__w") + 1).alias("__t"), F.lit(1).alias("__x"), *(F.col(c).alias(f"__of_{n}") for n, c in columns.items()))
+    stay = copies.withColumn("__t", F.col(time)).withColumn("__x", F.lit(0)).select("*", *(F.col(c).alias(f"__of_{n}") for n, c in columns.items()))
     leave = leave.select("*", *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in keys))
-    leave = leave.select(*keys, "__b", "__t", "__x", *(c for c in df.columns if c not in keys), F.lit(1).alias("__k"), *((-F.col(f"__{n}")).alias(f"__{n}") for n in columns))
+    leave = leave.select(*keys, "__bucket", "__t", "__x", *(c for c in df.columns if c not in keys), F.lit(1).alias("__k"), *((-F.col(f"__of_{n}")).alias(f"__of_{n}") for n in columns))
     both = stay.select(*leave.columns).unionByName(leave)
-    over = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.select("*", *(F.sum(f"__{n}").over(over).alias(n) for n in columns))
+    over = Window.partitionBy(*keys, "__bucket").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    summed = both.select("*", *(F.sum(f"__of_{n}").over(over).alias(n) for n in columns))
     return summed.where("__k = 0 and __x = 0").select(*df.columns, *columns)
