@@ -195,7 +195,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     blocks. A vector lives in its home cell and visits the neighbouring cells that are nearest, in each table. Two that
     meet at the home of one of them are compared by exact cosine in double precision, in blocks of bounded size; a pair
     counts in the first table that finds it. Tasks emit link counts and spanning edges, never pairs. At the given
-    parameters a pair at the threshold is missed once in about a thousand cases, closer pairs far less often.
+    parameters about one and a half in a thousand pairs at the threshold are missed, closer pairs far less often.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with nothing and are
     their own component. Vectors of different lengths never link. Null ids take part but name no component; repeated ids
