@@ -2,11 +2,13 @@
 
 import gzip
 import lzma
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickweave.functions import template, text
+from tickweave.operators import ticks
 from tickweave.plans import dedup, frames, maps
 from tickweave.sources import cells, midi
 
@@ -182,3 +184,18 @@ def test_lead_in(spark):
     whole = frames.from_events(events, tracks)
     rows = frames.lead_in(whole, tracks.groupBy("song_id").agg(F.max("ppqn").alias("ppqn")), 60.0, 2.0).orderBy("frame_index").collect()
     assert (len(rows), rows[0]["timestamp_sec"], rows[0]["tick"], rows[0]["bpm"], rows[0]["cumulative_notes"]) == (120, -2.0, -1920, 120, 0)
+
+
+def test_lookups_and_counters_over_many_buckets(spark):
+    rng = random.Random(5)
+    dim = sorted({(s, rng.randrange(50, 3000)) for s in "ab" for _ in range(12)})
+    rows = [(rng.choice("abc"), rng.randrange(4000), k) for k in range(400)] + [("a", dim[0][1], 400)]
+    dims = spark.createDataFrame(dim, "s string, seg long").withColumn("v", F.col("seg") * 2)
+    got = maps.asof(spark.createDataFrame(rows, "s string, at long, k int"), F.col("at"), dims, "seg", ["v"], ["s"], "seg", 37)
+    first = {s: min(x for y, x in dim if y == s) for s in "ab"}
+    want = [(s, at, k, 2 * max((x for y, x in dim if y == s and x <= at), default=first[s]) if s in first else None) for s, at, k in rows]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    changes = [(s, t, rng.choice([-3, -1, 1, 2])) for s in "ab" for t in range(300)]
+    df = spark.createDataFrame(changes, "s string, t long, x long")
+    one, two = (ticks.held(df, ["s"], ["t"], width=w).select("s", "t", "held", "delta") for w in (None, 23))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]], width: int) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]], width: float) -> DataFrame:
     """Add running aggregates over ``order`` within ``keys``; columns maps a new name to ("sum" | "max" | "min" | "last", column).
 
     Rows fall into buckets of ``width`` units of the first order column. Bucket totals get a running aggregate of their

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
 
-def held(df: DataFrame, keys: list[str], order: list[str], change: str = "x", out: str = "held") -> DataFrame:
+
+def held(df: DataFrame, keys: list[str], order: list[str], change: str = "x", out: str = "held", width: float | None = None) -> DataFrame:
     """Add the value of a counter that saturates at 0 after each row's change, and ``delta``, what the row really changed.
 
-    With prefix sums S of the changes the counter is S - min(0, min S so far): two windows, no state.
+    With P the sum of the changes before a row, the counter stands at P - min P before it and at S - min(min P, S) after
+    it, where S = P + change: two running aggregates, no state. With ``width`` they run in two levels, over buckets of so
+    many units of the first order column, for keys with very many rows. Null changes count as 0.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn("__s", F.sum(change).over(upto))
-    counted = summed.withColumn(out, F.col("__s") - F.least(F.lit(0), F.min("__s").over(upto))).drop("__s")
-    return counted.withColumn("delta", F.col(out) - F.lag(out, 1, 0).over(Window.partitionBy(*keys).orderBy(*order)))
+    x = F.coalesce(F.col(change), F.lit(0))
+    if width:
+        summed = running(df, keys, order, {"__s": ("sum", change)}, width).withColumn("__p", F.col("__s") - x)
+        low = running(summed, keys, order, {"__low": ("min", "__p")}, width)
+    else:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = df.withColumn("__s", F.sum(x).over(upto)).withColumn("__p", F.col("__s") - x)
+        low = summed.withColumn("__low", F.min("__p").over(upto))
+    counted = low.withColumn(out, F.col("__s") - F.least("__low", "__s"))
+    return counted.withColumn("delta", F.col(out) - (F.col("__p") - F.col("__low"))).drop("__s", "__p", "__low")
 
 
 def note_deltas(events: DataFrame, vel0_is_off: bool = True, close_held: bool = False) -> DataFrame:

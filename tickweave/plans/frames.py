@@ -9,6 +9,10 @@ from ..operators.prefix import closed_window, running
 from .maps import asof, meter_map, meter_place, tempo_map
 
 
+#: Seconds in a bucket of the lookups by time.
+SPAN = 64.0
+
+
 def grid(cells: DataFrame, ends: DataFrame, keys: list[str], lag: int, width: int = 4096) -> DataFrame:
     """Every frame 0..last_frame of each key with its state at the frame's end.
 
@@ -61,11 +65,11 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     state = grid(done, ends.select("song_id", "last_frame"), keys, lag).join(ends, "song_id")
     rate = lambda k: k.cast("double") * F.lit(1.0 / fps)
     by_time = tempo.select("song_id", F.col("time_sec").alias("seg"), F.struct("tick", "us", "time_sec").alias("tempo"))
-    start = asof(state, rate(F.col("k")), by_time, "seg", ["tempo"], keys, "seg")
+    start = asof(state, rate(F.col("k")), by_time, "seg", ["tempo"], keys, "seg", SPAN)
     gone = F.greatest(F.lit(0.0), rate(F.col("k")) - F.col("tempo.time_sec"))
     start = start.withColumn("tick", F.col("tempo.tick") + (gone * (F.col("ppqn") * F.lit(1e6)) / F.col("tempo.us")).cast("long")).drop("tempo")
     by_end = by_time.withColumnRenamed("tempo", "tempo_end")
-    both = asof(start, rate(F.col("k") + 1), by_end, "seg", ["tempo_end"], keys, "seg")
+    both = asof(start, rate(F.col("k") + 1), by_end, "seg", ["tempo_end"], keys, "seg", SPAN)
     both = both.withColumn("bpm", F.lit(6e7) / F.col("tempo_end.us")).drop("tempo_end")
     meter = meter_map(meter_changes, songs)
     segs = meter.select("song_id", F.col("tick").alias("seg"), F.struct(F.col("tick").alias("seg_tick"), "num", "dd", "beats", "measures").alias("meter"))
@@ -82,6 +86,13 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     ).withColumnRenamed("peak_poly", "peak_polyphony")
 
 
+def changed(frames: DataFrame, keys: list[str], index: str, column: str) -> DataFrame:
+    """The frames whose column differs from that of the frame before, and each key's first: frames are dense, so the one before is an equi-join."""
+    before = frames.select(*keys, (F.col(index) + 1).alias(index), F.col(column).alias("__before"), F.lit(True).alias("__found"))
+    both = frames.join(before, [*keys, index], "left")
+    return both.where(F.col("__found").isNull() | ~F.col(column).eqNullSafe(F.col("__before"))).drop("__before", "__found")
+
+
 def summary(frames: DataFrame) -> DataFrame:
     """One row for each song: notes, cc, last tick, frames, and the peaks."""
     return frames.groupBy("song_id").agg(F.max("cumulative_notes").alias("notes"), F.max("cumulative_cc").alias("cc"), F.max("tick").alias("tick"), F.count("*").alias("frames"), F.max("peak_polyphony").alias("peak_poly"), F.max("peak_nps").cast("long").alias("peak_nps"), F.max("peak_cps").cast("long").alias("peak_cps"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running
 from ..operators.ticks import last_wins
 
 DEFAULT_US = 500_000
@@ -28,19 +29,20 @@ def tempo_map(changes: DataFrame, songs: DataFrame) -> DataFrame:
     return parts.select("song_id", "tick", "us", F.sum("s").over(upto).alias("time_sec"), F.sum("d").over(upto).alias("exact_t"), F.lead("tick").over(order).alias("next_tick")).withColumn("next_sec", F.lead("time_sec").over(order))
 
 
-def asof(rows: DataFrame, at: Column, dim: DataFrame, valid: str, columns: list[str], keys: list[str], first: str) -> DataFrame:
+def asof(rows: DataFrame, at: Column, dim: DataFrame, valid: str, columns: list[str], keys: list[str], first: str, width: float = 1 << 16) -> DataFrame:
     """Add to rows the columns of the dim row with the greatest ``valid`` at most ``at``, within keys: union and carry the last forward.
 
-    Both sides meet in one sorted pass by key; a dim row goes before the rows at the same place. Rows before the first
-    dim row get that one (by ``first``, the column that orders dim).
+    Both sides meet in one sorted pass by key and bucket of ``width`` units of the place; a dim row goes before the rows
+    at the same place, and what holds at a bucket's start comes from the buckets before, one row for each. So the rows of
+    one huge song are spread over its buckets. Rows before the first dim row get that one (by ``first``, the column that
+    orders dim).
     """
     v = F.struct(*columns)
     least = dim.groupBy(*keys).agg(F.min_by(v, first).alias("__first"))
     left = rows.select(*rows.columns, at.cast("double").alias("__at") if dict(dim.dtypes)[valid] == "double" else at.alias("__at"), F.lit(1).alias("__s"))
     right = dim.select(*keys, F.col(valid).alias("__at"), F.lit(0).alias("__s"), v.alias("__v"))
     both = left.unionByName(right, allowMissingColumns=True)
-    seen = Window.partitionBy(*keys).orderBy("__at", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__got", F.last("__v", ignorenulls=True).over(seen)).where("__s = 1").join(least, keys, "left")
+    got = running(both, keys, ["__at", "__s"], {"__got": ("last", "__v")}, width).where("__s = 1").join(least, keys, "left")
     got = got.withColumn("__got", F.coalesce("__got", "__first"))
     return got.select(*rows.columns, *(F.col("__got")[c].alias(c) for c in columns))
 

@@ -241,7 +241,7 @@ def w8_tempo_anchors(spark, sf_dir):
 def j1_asof_tick(spark, sf_dir):
     rows = _song(spark, sf_dir).select(F.lit("s").alias("song_id"), "seq", F.expr("exact_t div 1000").alias("tick"))
     dim = _tempo(spark, sf_dir).select("song_id", F.col("tick").alias("seg"), F.struct("tick", "us", "exact_t").alias("tempo"))
-    got = asof(rows, F.col("tick"), dim, "seg", ["tempo"], ["song_id"], "seg")
+    got = asof(rows, F.col("tick"), dim, "seg", ["tempo"], ["song_id"], "seg", BUCKET // 1000)
     return got.select("seq", F.col("tempo.us").alias("us"), (F.col("tempo.exact_t") + (F.col("tick") - F.col("tempo.tick")) * F.col("tempo.us")).alias("place"))
 
 
@@ -249,7 +249,7 @@ def j1_asof_tick(spark, sf_dir):
 def j2_asof_time(spark, sf_dir):
     rows = spark.range(2000).select(F.lit("s").alias("song_id"), F.col("id").alias("k"), (F.col("id") * 480000000000).alias("at"))
     dim = _tempo(spark, sf_dir).select("song_id", F.col("exact_t").alias("seg"), F.struct("tick", "us", "exact_t").alias("tempo"))
-    got = asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg")
+    got = asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg", 1 << 45)
     return got.select("k", F.col("tempo.us").alias("us"), F.expr("tempo.tick + (at - tempo.exact_t) div tempo.us").alias("tick"))
 
 
@@ -257,7 +257,7 @@ def j2_asof_time(spark, sf_dir):
 def j3_asof_frame_end(spark, sf_dir):
     rows = spark.range(2000).select(F.lit("s").alias("song_id"), F.col("id").alias("k"), ((F.col("id") + 1) * 480000000000).alias("at"))
     dim = _tempo(spark, sf_dir).select("song_id", F.col("exact_t").alias("seg"), F.struct("us").alias("tempo"))
-    return asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg").select("k", F.col("tempo.us").alias("us"))
+    return asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg", 1 << 45).select("k", F.col("tempo.us").alias("us"))
 
 
 _METER = """, mt AS (SELECT exact_t // 1000000 AS tick, 2 + seq % 6 AS num FROM ev WHERE event_type = 'signup' AND seq % 50 = 0),
@@ -427,6 +427,93 @@ def f13_tokens(spark, sf_dir):
     return rows.select("k", "cum", template.render("[{nc}] {plph}/{plph-max} {x}", template.Style(notes=False, polyphony=False)).alias("line"))
 
 
+#: Magic numbers to try, by turns (fixed values).
+_HEADS = ("1F8B0800", "425A6839", "FD377A585A00", "28B52FFD", "04224D18", "526172211A07", "377ABCAF271C", "4D546864")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'gz' WHEN 1 THEN 'bz2' WHEN 2 THEN 'xz' WHEN 3 THEN 'zstd' WHEN 4 THEN 'lz4' WHEN 5 THEN 'rar' WHEN 6 THEN '7z' END AS kind FROM part", base=False)
+def s3_magic(spark, sf_dir):
+    head = F.unhex(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.compressed_kind(head).alias("kind"))
+
+
+@query("SELECT count(*) FILTER (x > 0 AND seq % 3 > 0) AS notes, count(*) FILTER (x > 0) AS notes_all FROM ev")
+def p5_velocity_zero(spark, sf_dir):
+    kind = F.when(F.col("x") > 0, "on").when(F.col("x") < 0, "off").otherwise("cc")
+    events = _song(spark, sf_dir).where("x <> 0 or cc = 1").select(F.lit("s").alias("song_id"), F.col("track").alias("track_idx"), "seq", F.col("exact_t").alias("tick"), kind.alias("kind"), F.lit(0).alias("channel"), F.lit(0).alias("key"), (F.col("seq") % 3).alias("value"))
+    one, two = (ticks.note_deltas(events, off).agg(F.sum("ons").alias(n)) for off, n in ((True, "notes"), (False, "notes_all")))
+    return one.crossJoin(F.broadcast(two))  # one row each
+
+
+@query("SELECT count(*) AS cells, CAST(sum(CAST(delta <> 0 AS INT)) AS BIGINT) AS moving FROM ce")
+def p8_zero_cells(spark, sf_dir):
+    return _cells(spark, sf_dir).agg(F.count("*").alias("cells"), F.sum((F.col("delta") != 0).cast("long")).alias("moving"))
+
+
+@query("SELECT exact_t, 2 * ons AS ons, 2 * delta AS delta, 2 * cc AS cc FROM ce")
+def a17_merge_sparse(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return ticks.merge_sum([cells, cells], ["exact_t"], ["ons", "delta", "cc"])
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY n_nationkey <> 7, n_name) AS place FROM nation", base=False)
+def o5_default_first(spark, sf_dir):
+    first = Window.orderBy(F.col("n_nationkey") != 7, "n_name")  # names of a settings folder: a handful of rows
+    return _table(spark, sf_dir, "nation").select("n_name", F.row_number().over(first).cast("long").alias("place"))
+
+
+@query("SELECT c_custkey, CAST(CAST(round(greatest(0, c_acctbal)) AS BIGINT) AS VARCHAR) AS shown FROM customer", base=False)
+def f9_rate(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.rate(F.col("c_acctbal")).alias("shown"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'FFFFFFFF' ELSE substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || printf('%02X', CAST(255 - v // 16777216 AS INT)) END AS rgba
+FROM (SELECT c_custkey, v, printf('%08X', v) AS h FROM (SELECT c_custkey, c_custkey * 2654435 % 4294967296 AS v FROM customer))""",
+    base=False,
+)
+def f16_colour(spark, sf_dir):
+    hexes = F.lpad(F.hex(F.col("c_custkey") * 2654435 % (1 << 32)), 8, "0")
+    given = F.when(F.col("c_custkey") % 5 == 0, F.lit("blue")).otherwise(F.concat(F.lit("&H"), hexes))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.colour(given).alias("rgba"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[\\\\/:*?\"<>|]', '_', 'g') AS name FROM pages", base=False)
+def f20_clean_name(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.clean_name(F.col("url")).alias("name"))
+
+
+@query()
+def f21_crc32(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS is_cells FROM pages", base=False)
+def f22_cell_name(spark, sf_dir):
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/a.CjCmcg.xz").otherwise(".cjcmcg/b.mid"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.is_cell_file(path).alias("is_cells"))
+
+
+@query("SELECT o_orderkey, greatest(1000.0::DOUBLE, least(100000.0::DOUBLE, o_totalprice)) AS held FROM orders", base=False)
+def f25_clamp(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.clamp(F.col("o_totalprice"), 1000.0, 100000.0).alias("held"))
+
+
+@query("SELECT c_custkey, CAST(d AS INT) AS d, regexp_replace(c_name, '[0-9]', CAST(d AS VARCHAR), 'g') AS shown FROM customer, range(0, 10) g(d)", base=False)
+def f27_digit_variants(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(text.digit_variants(F.col("c_name"))).alias("d", "shown"))
+
+
+@query("SELECT DISTINCT l_quantity, greatest(1, CAST(round(l_quantity / 7 * 1000) AS BIGINT)) AS timescale FROM lineitem", base=False)
+def f31_timescale(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_quantity", text.timescale(F.col("l_quantity") / 7).alias("timescale")).distinct()
+
+
+@query("SELECT k, CAST(poly AS BIGINT) AS poly FROM (SELECT k, poly, lag(poly) OVER (ORDER BY k) AS p FROM ff) WHERE p IS NULL OR p <> poly")
+def l6_changed_frames(spark, sf_dir):
+    return _longs(frame_plan.changed(_frames(spark, sf_dir), ["song"], "k", "poly"), "k", "poly")
+
+
 _LINE = "'N:' || " + _COMMAS.format("CAST(cum AS VARCHAR)") + " || ' P:' || CAST(greatest(0, poly) AS VARCHAR) || ' S:' || CAST(peak_nps AS VARCHAR)"
 
 

@@ -99,4 +99,4 @@ def read_cells(files: DataFrame) -> DataFrame:
 def cell_deltas(rows: DataFrame) -> DataFrame:
     """(song_id, tick, ons, delta, cc): offs beyond what the whole song holds do nothing; ons go first within a tick."""
     cells = rows.where("kind = 'cell'").withColumn("x", F.col("ons") - F.col("offs"))
-    return held(cells, ["song_id"], ["tick"]).select("song_id", "tick", "ons", "delta", F.lit(0).cast("long").alias("cc"))
+    return held(cells, ["song_id"], ["tick"], width=1 << 16).select("song_id", "tick", "ons", "delta", F.lit(0).cast("long").alias("cc"))
