@@ -57,7 +57,9 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     timed = timed.withColumn("frame", F.floor(F.col("sec") * fps).cast("long")).drop("tempo")
     done = swept(timed, keys, "at_t", F.col("second"), 1 << 40)
 
-    last = asof(songs.select("song_id", "ppqn", F.col("max_tick").alias("tick")), F.col("tick"), tempo_named, "seg", ["tempo"], keys, "seg")
+    # one row for each song: its last tempo
+    reached = songs.select("song_id", "ppqn", F.col("max_tick").alias("tick")).join(tempo_named, "song_id").where("seg <= tick or seg = 0")
+    last = reached.groupBy("song_id", "ppqn", "tick").agg(F.max_by("tempo", "seg").alias("tempo"))
     length = F.col("tempo.time_sec") + (F.col("tick") - F.col("tempo.t0")).cast("double") * F.col("tempo.us").cast("double") * inv
     ends = last.select("song_id", "ppqn", F.col("tick").alias("max_tick"), length.alias("max_time"))
     ends = ends.select("*", (F.ceil(F.col("max_time") * fps) + 1).cast("long").alias("song_frames"), F.ceil((F.col("max_time") + end_delay) * fps).cast("long").alias("last_frame"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running
 from ..operators.ticks import last_wins
 
 DEFAULT_US = 500_000
@@ -32,18 +31,24 @@ def tempo_map(changes: DataFrame, songs: DataFrame) -> DataFrame:
 def asof(rows: DataFrame, at: Column, dim: DataFrame, valid: str, columns: list[str], keys: list[str], first: str, width: float = 1 << 16) -> DataFrame:
     """Add to rows the columns of the dim row with the greatest ``valid`` at most ``at``, within keys: union and carry the last forward.
 
-    Both sides meet in one sorted pass by key and bucket of ``width`` units of the place; a dim row goes before the rows
-    at the same place, and what holds at a bucket's start comes from the buckets before, one row for each. So the rows of
-    one huge song are spread over its buckets. Rows before the first dim row get that one (by ``first``, the column that
-    orders dim).
+    Both sides meet in one sorted pass by key and bucket of ``width`` units of the place, so the rows of one huge song
+    are spread over its buckets; a dim row goes before the rows at the same place. What holds at a bucket's start is
+    copied into it, once for each bucket between the first and the last dim row. Rows in buckets beyond the last dim row
+    get that one, rows before the first get the first (by ``first``, the column that orders dim). rows is read once.
     """
     v = F.struct(*columns)
-    least = dim.groupBy(*keys).agg(F.min_by(v, first).alias("__first"))
-    left = rows.select(*rows.columns, at.cast("double").alias("__at") if dict(dim.dtypes)[valid] == "double" else at.alias("__at"), F.lit(1).alias("__s"))
-    right = dim.select(*keys, F.col(valid).alias("__at"), F.lit(0).alias("__s"), v.alias("__v"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    got = running(both, keys, ["__at", "__s"], {"__got": ("last", "__v")}, width).where("__s = 1").join(least, keys, "left")
-    got = got.withColumn("__got", F.coalesce("__got", "__first"))
+    bucket = F.expr(f"cast(floor(__at / {width}) as bigint)")
+    kind = dict(dim.dtypes)[valid]
+    dims = dim.select(*keys, F.col(valid).alias("__at"), F.lit(0).alias("__s"), v.alias("__v"), F.col(first).alias("__by")).withColumn("__b", bucket)
+    ends = dims.groupBy(*keys).agg(F.min_by("__v", "__by").alias("__first"), F.max_by("__v", "__by").alias("__last"), F.max("__b").alias("__hi"))
+    until = F.lead("__b").over(Window.partitionBy(*keys).orderBy("__at"))
+    copies = dims.withColumn("__n", until).where("__n > __b").withColumn("__b", F.explode(F.expr("sequence(__b + 1, __n)"))).withColumn("__s", F.lit(-1)).drop("__n")
+    left = rows.select(*rows.columns, (at.cast("double") if kind == "double" else at).alias("__at"), F.lit(1).alias("__s")).withColumn("__b", bucket)
+    both = left.unionByName(dims.unionByName(copies).drop("__by"), allowMissingColumns=True)
+    # a copy stands before all else in its bucket
+    seen = Window.partitionBy(*keys, "__b").orderBy(F.col("__s") >= 0, "__at", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("__got", F.last("__v", ignorenulls=True).over(seen)).where("__s = 1").join(ends, keys, "left")
+    got = got.withColumn("__got", F.coalesce("__got", F.when(F.col("__b") > F.col("__hi"), F.col("__last")).otherwise(F.col("__first"))))
     return got.select(*rows.columns, *(F.col("__got")[c].alias(c) for c in columns))
 
 
