@@ -275,7 +275,8 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = linked.join(classes, linked["node"] == classes["key"]).select("key", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = named.join(least, "component").select("key", "component_id")
-    label = classes.join(joined, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges, which AQE splits where one class has very many members
+    label = materialize(classes.join(joined, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
     return members.join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
