@@ -12,20 +12,22 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a long, b long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges no longer change; every step is a combinable minimum by
-    node and a join, so a node with very many neighbours is one skewed join key, which AQE splits. Edge order, repeats,
-    self loops and nulls do not matter; no edges give no rows.
+    node and a join. The minima of a large-star step are written, one row for each node, so that both sides of its join
+    are plain exchanges and AQE can split a node with very many neighbours. Edge order, repeats, self loops and nulls do
+    not matter; no edges give no rows.
     """
     canonical = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before, held = canonical(edges), None, None
     for _ in range(limit):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        minima = least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = canonical(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
         step = materialize(canonical(small))
         state = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        discard(minima)
         if held is not None:
             discard(held)
         held = now = step
