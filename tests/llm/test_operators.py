@@ -371,3 +371,22 @@ def test_passages_cover_the_whole_text():
     a, b, x, begin = next(quality.passages(pa.array([text, None, "a"])))
     assert begin.tolist() == [0, 6, 7, 8]
     assert x[5, 6 + quality.MARKS.index(b"$")] > 0.5 and not x[6].any()
+
+
+def learned(monkeypatch):
+    """Passages and documents that each call of quality.fit learns from."""
+    seen, own = [], quality._learn
+
+    def learn(x, *rest):
+        seen.append((len(x), len(rest[-4])))
+        return own(x, *rest)
+
+    monkeypatch.setattr(quality, "_learn", learn)
+    return seen
+
+
+def test_quality_learns_from_all_passages(spark, monkeypatch):
+    seen = learned(monkeypatch)
+    given = spark.createDataFrame([(1, "plain word " * 3200), (2, "$$ %% " * 3200)], "doc_id long, text string")
+    quality.fit(given, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), rounds=1)
+    assert seen == [(200, 2)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,11 +115,18 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray) -> tupl
     return s, a, z, h, v, u, of
 
 
-def _learn(x: np.ndarray, begin: np.ndarray, y: np.ndarray, hidden: int, rounds: int, seed: int) -> Model:
-    """Adam on the documents' log loss, the rarer label weighted up to balance."""
+def _spread(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of x's columns, a document at a time."""
+    mean = sum(x[a : a + n].sum(0, dtype=np.float64) for a, n in zip(first, size, strict=True)) / size.sum()
+    square = sum(((x[a : a + n] - mean) ** 2).sum(0) for a, n in zip(first, size, strict=True)) / size.sum()
+    return mean, np.sqrt(square)
+
+
+def _learn(x: np.ndarray, first_of: np.ndarray, size_of: np.ndarray, y: np.ndarray, hidden: int, rounds: int, seed: int) -> Model:
+    """Adam on the documents' log loss, the rarer label weighted up to balance; document k has rows first_of[k] and on of x."""
     rng = np.random.default_rng(seed)
-    centre, scale = x.mean(0), 1 / (x.std(0) + 1e-2)
-    x = ((x - centre) * scale).astype(np.float32)
+    centre, spread = _spread(x, first_of, size_of)
+    scale = 1 / (spread + 1e-2)
     draw = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
     p = {"W": draw(FEATURES, hidden), "b": np.zeros(hidden, np.float32), "V": draw(hidden, 16), "U": draw(hidden, 16), "w": draw(16), "c": draw(hidden), "d": np.zeros(1, np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -128,9 +137,9 @@ def _learn(x: np.ndarray, begin: np.ndarray, y: np.ndarray, hidden: int, rounds:
         order = rng.permutation(len(y))
         for at in range(0, len(y), 128):
             own = order[at : at + 128]
-            size = begin[own + 1] - begin[own]
+            size = size_of[own]
             starts = np.r_[0, np.cumsum(size)]
-            xs = x[np.repeat(begin[own] - starts[:-1], size) + np.arange(starts[-1])]
+            xs = ((x[np.repeat(first_of[own] - starts[:-1], size) + np.arange(starts[-1])] - centre) * scale).astype(np.float32)
             s, a, z, h, v, u, of = _forward(p, xs, starts)
             ds = ((s - y[own]) * weight[own] / len(own)).astype(np.float32)
             dz = ds[:, None] * p["c"]
@@ -149,36 +158,38 @@ def _learn(x: np.ndarray, begin: np.ndarray, y: np.ndarray, hidden: int, rounds:
     return Model(centre.astype(np.float32), scale.astype(np.float32), p)
 
 
-def _features(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, x, begin in passages(batch.column(1)):
-                bags = []
-                for k in range(b - a):
-                    bag = x[begin[k] : begin[k + 1]]
-                    bags.append((bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bags, pa.binary())], names=["y", "bag"])
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, x, begin in passages(batch.column(1)):
+            bags = [x[begin[k] : begin[k + 1]].tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bags, pa.binary())], names=["y", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages_each: int = 64, hidden: int = 32, rounds: int = 12, seed: int = 5) -> Model:
-    """Learn from at most ``sample`` labelled documents, those first by a hash of their id, of at most ``passages_each`` passages spread over the text.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, hidden: int = 32, rounds: int = 12, seed: int = 5) -> Model:
+    """Learn from at most ``sample`` labelled documents, those first by a hash of their id, of all their passages.
 
-    Labels that are null or contradict each other for one id are left out. With labels of one kind only, or none, the
-    scores are that label, or 1.
+    The passages lie in a file of the driver that is mapped into memory; a step reads its own documents from it. Labels that
+    are null or contradict each other for one id are left out. With labels of one kind only, or none, the scores are that
+    label, or 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__z"))
     chosen = known.where("__y = __z and __id is not null").orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", F.col("__y").cast("double").alias("__y"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     joined = texts.join(F.broadcast(chosen), "__id").select("__y", "__text")  # sample bounds the broadcast
-    rows = sorted((r[0], bytes(r[1])) for r in joined.mapInArrow(_features(passages_each), "y double, bag binary").toLocalIterator())
-    bags, y = [np.frombuffer(r[1], np.float32).reshape(-1, FEATURES) for r in rows], [r[0] for r in rows]
-    if len(set(y)) < 2:
-        zero = {"W": np.zeros((FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1), "d": np.array([30.0 if not y or y[0] else -30.0])}
-        return Model(np.zeros(FEATURES), np.zeros(FEATURES), zero)
-    begin = np.r_[0, np.cumsum([len(b) for b in bags])]
-    return _learn(np.concatenate(bags), begin, np.array(y), hidden, rounds, seed)
+    with tempfile.TemporaryFile() as file:
+        found, at = [], 0
+        for y, bag in joined.mapInArrow(_features, "y double, bag binary").toLocalIterator():
+            found.append((y, hashlib.sha256(bag).digest(), at, len(bag) // (4 * FEATURES)))
+            file.write(bag)
+            at += found[-1][3]
+        file.flush()
+        found.sort()
+        y = [r[0] for r in found]
+        if len(set(y)) < 2:
+            zero = {"W": np.zeros((FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1), "d": np.array([30.0 if not y or y[0] else -30.0])}
+            return Model(np.zeros(FEATURES), np.zeros(FEATURES), zero)
+        first, size = (np.array([r[k] for r in found]) for k in (2, 3))
+        return _learn(np.memmap(file, np.float32, "r", shape=(at, FEATURES)), first, size, np.array(y), hidden, rounds, seed)
 
 
 def _score(model: Model, threshold: float):
