@@ -390,3 +390,10 @@ def test_quality_learns_from_all_passages(spark, monkeypatch):
     given = spark.createDataFrame([(1, "plain word " * 3200), (2, "$$ %% " * 3200)], "doc_id long, text string")
     quality.fit(given, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), rounds=1)
     assert seen == [(200, 2)]
+
+
+def test_quality_samples_labels_that_have_documents(spark, monkeypatch):
+    seen = learned(monkeypatch)
+    given = spark.createDataFrame([(k, "plain word" if k % 2 else "$$ %%") for k in range(10)], "doc_id long, text string")
+    quality.fit(given, spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id long, quality int"), sample=10, rounds=1)
+    assert seen == [(10, 10)]

@@ -166,14 +166,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, hidden: int = 32, rounds: int = 12, seed: int = 5) -> Model:
-    """Learn from at most ``sample`` labelled documents, those first by a hash of their id, of all their passages.
+    """Learn from at most ``sample`` labelled documents, those of docs first by a hash of their id, of all their passages.
 
     The passages lie in a file of the driver that is mapped into memory; a step reads its own documents from it. Labels that
-    are null or contradict each other for one id are left out. With labels of one kind only, or none, the scores are that
+    are null, contradict each other for one id or belong to no row of docs are left out. With labels of one kind only, or none, the scores are that
     label, or 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__z"))
-    chosen = known.where("__y = __z and __id is not null").orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", F.col("__y").cast("double").alias("__y"))
+    present = docs.select(F.col(id_col).cast("long").alias("__id")).distinct()
+    chosen = known.where("__y = __z").join(present, "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", F.col("__y").cast("double").alias("__y"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     joined = texts.join(F.broadcast(chosen), "__id").select("__y", "__text")  # sample bounds the broadcast
     with tempfile.TemporaryFile() as file:
