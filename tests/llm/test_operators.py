@@ -97,6 +97,14 @@ def test_keep_first(docs):
     assert sorted(ids) == sorted(x for x in want if x is not None)
 
 
+def test_keep_first_decides_by_row(spark):
+    long = lambda w: " ".join(f"{w}{k}" for k in range(30))
+    rows = [(5, long("a")), (5, long("b")), (5, long("b")), (3, long("a")), (None, long("b")), (None, long("c")), (None, long("c")), (None, long("d") + " x"), (8, long("d")), (9, ""), (9, ""), (None, None)]
+    got = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(3, long("a")), (5, long("b")), (None, long("c")), (8, long("d")), (9, ""), (9, ""), (None, None)]
+    assert order(tuple(r) for r in got) == order(want)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1), (20, 3), (None, 4)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r[0]: r[1] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -281,22 +281,31 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id names their component, with all their columns.
+    """The first row, by id, of each component of docs, with all its columns.
 
-    Of rows that repeat one id, one stays if it is the first of its component; texts without words all stay. Rows with
-    a null id stay, as their component is named by another id or by none.
+    Rows are told apart by id and text, texts by 64-bit hashes. A component's first row has its least id, null ids last,
+    and of several texts with that id the one with the least hash; all other rows of the component go, whatever their id.
+    Of rows that repeat both id and text one stays; texts without words all stay.
     """
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    # an id that repeats with several texts goes when any of them belongs to an earlier document
-    verdict = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__m"), F.min("component_id").alias("__c"), F.min("n_shingles").alias("__n"))
-    verdict = verdict.where("__c < doc_id or (__m > 1 and __n > 0)").select(F.col("doc_id").alias("__id"), (F.col("__c") < F.col("doc_id")).alias("__gone"))
-    gone, repeated = verdict.where("__gone").select("__id"), verdict.where("not __gone").select("__id")
-    left = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
-    return _once(left, repeated, id_col)
-
-
-def _once(docs: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
-    """One row of each repeated id."""
-    marked = docs.join(repeated, docs[id_col].cast("long") == F.col("__id"), "left")
-    single = marked.where("__id is null").drop("__id")
-    return single.unionByName(marked.where("__id is not null").dropDuplicates(["__id"]).drop("__id"))
+    ident, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    texts = docs.select(mark.alias("__t"), docs[text_col].alias("__text"))
+    classes = jaccard_classes(texts, id_col="__t", text_col="__text", width=width, percent=percent).where("n_shingles > 0")
+    component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("__c")).withColumnRenamed("doc_id", "__t"))
+    order = F.struct(F.col("__id").isNull().alias("last"), "__id", "__t")
+    rows = materialize(docs.select(ident.alias("__id"), mark.alias("__t")).groupBy("__id", "__t").agg(F.count("*").alias("__m")))
+    # written, so that both sides are plain exchanges, which AQE splits where one text has very many ids
+    placed = materialize(rows.join(component, "__t"))
+    first = placed.groupBy("__c").agg(F.min(order).alias("__f")).select(F.col("__f.__id").alias("__id"), F.col("__f.__t").alias("__t"))
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__t"] == b["__t"])
+    verdict = materialize(placed.join(first, same(placed, first), "left").select(placed["__id"], placed["__t"], "__m", first["__t"].isNull().alias("__gone")))
+    gone, repeated = verdict.where("__gone").select("__id", "__t"), verdict.where("not __gone and __m > 1").select("__id", "__t")
+    left = docs.join(gone, ident.eqNullSafe(F.col("__id")) & (mark == F.col("__t")), "left_anti")
+    return _once(left, repeated, id_col, text_col)
+
+
+def _once(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each repeated pair of id and text."""
+    ident, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    marked = docs.join(repeated, ident.eqNullSafe(F.col("__id")) & (mark == F.col("__t")), "left")
+    single = marked.where("__t is null").drop("__id", "__t")
+    return single.unionByName(marked.where("__t is not null").dropDuplicates(["__id", "__t"]).drop("__id", "__t"))
