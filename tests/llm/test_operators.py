@@ -342,6 +342,15 @@ def test_nearest_recall(spark):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_nearest_in_many_dimensions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2000))
+    for q in range(0, 200, 50):
+        x[q + 1 : q + 6] = x[q] + 0.2 * rng.normal(size=(5, 2000))
+    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), rerank=20).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(q, q + k) for q in range(0, 200, 50) for k in range(1, 6)}
+
+
 def test_quality(spark):
     rng = random.Random(8)
     words = lambda n: [rng.choice(["the", "house", "stands", "by", "a", "river", "and", "many", "people"]) for _ in range(n)]
