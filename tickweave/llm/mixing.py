@@ -9,25 +9,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialize
+from .store import materialize, unused
 
-#: A document larger than its source's target divided by this is rounded in turn, not sampled; a source has a bounded number of them.
-LARGE = 64
-#: Deals of one size class of a source: its rows are ranked in so many groups, none of which holds a hot source's rows alone.
-SALTS = 64
+#: Places of the random offset, and the share of a target within which a source's offsets count as equally near it.
+OFFSETS, NEAR = 1024, 0.001
+#: Rows that are ranked together at most, on average; a size class of a source is dealt to at least SALTS groups.
+RANKED, SALTS = 1 << 20, 64
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(K.word_counts(batch.column(2)))], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(K.word_counts(batch.column(3)))], names=["doc_id", "mark", "source", "size"])
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size and the place in the sampling order: size class and salt."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sized = plain.mapInArrow(_sizes, "doc_id long, source string, size long")
+    """doc_id, mark (a hash of the text), source, size and the place in the sampling order: size class and salt."""
+    text = F.col(text_col).cast("string")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
+    sized = materialize(plain.mapInArrow(_sizes, "doc_id long, mark long, source string, size long"))
+    salts = max(SALTS, -(-sized.count() // RANKED))
     level = F.floor(F.log(F.col("size") + F.lit(1.0)) * 16).cast("int")
-    return materialize(sized.select("*", level.alias("level"), F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long"))), F.lit(SALTS)).cast("int").alias("salt")))
+    return sized.select("*", level.alias("level"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int").alias("salt"))
+
+
+def _mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -53,75 +59,79 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return rate.select("source", "source_size", F.when(F.col("first").isNull(), limit).otherwise(F.least(limit, F.col("first") * F.col("w"))).alias("target"))
 
 
-def _rounded(most: int):
-    """Whole copies for one source's large documents, largest first, so that the words taken stay near the words expected."""
+def _offsets(placed: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """(source, offset): each source's random offset, drawn by the seed from those of a grid that bring its words nearest to the target.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
-        copies, owed = [], 0.0
-        for size, rate in zip(table["size"].to_pylist(), table["rate"].to_pylist(), strict=True):
-            owed += rate * size
-            k = min(most, max(0, round(owed / size)))
-            owed -= k * size
-            copies.append(k)
-        return table.select(["doc_id", "source", "size"]).append_column("copies", pa.array(copies, pa.int64()))
-
-    return run
+    A document's copies are one more than the whole part of its rate while the offset lies in one arc of the circle. So
+    the words taken at all offsets are the running sums of two steps for each document, of which a source has a row for
+    each place of the grid.
+    """
+    share = F.col("rate") - F.floor("rate")
+    begin = F.pmod(1 - share - F.pmod((F.col("place") - 1) * F.col("rate"), F.lit(1.0)), F.lit(1.0))
+    first, last = F.ceil(begin * OFFSETS).cast("int"), F.ceil((begin + share) * OFFSETS).cast("int")
+    # an arc beyond the circle's end goes on at its start
+    step = lambda at, sign: F.struct(at.alias("at"), (F.lit(sign) * F.col("size")).alias("step"))
+    wraps = F.when(last > OFFSETS, F.array(step(F.lit(0), 1), step(last - OFFSETS, -1))).otherwise(F.array().cast("array<struct<at:int,step:bigint>>"))
+    steps = placed.where("size > 0").select("source", F.explode(F.concat(F.array(step(first, 1), step(last, -1)), wraps)).alias("s")).select("source", "s.at", "s.step")
+    steps = steps.groupBy("source", "at").agg(F.sum("step").alias("step"))
+    grid = goal.select("source", "source_size", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("at"))
+    names = {"source": "s", "at": "a"}
+    met = grid.join(steps.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")), "left")
+    upto = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.floor("rate") * F.col("source_size") + F.sum(F.coalesce("step", F.lit(0))).over(upto)
+    miss = F.abs(taken - F.col("target")) / F.greatest("target", F.lit(1.0))
+    drawn = F.struct(F.greatest(miss, F.lit(NEAR)).alias("miss"), F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), "at").alias("draw"), "at")
+    best = met.select("source", drawn.alias("drawn")).groupBy("source").agg(F.min("drawn").alias("drawn"))
+    return best.select("source", (F.col("drawn.at") / F.lit(float(OFFSETS))).alias("offset"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
-    """How often each document enters the mix: doc_id, source, size, source_size, target, copies, taken.
+    """How often each document enters the mix: doc_id, mark, source, size, source_size, target, copies, taken.
 
-    Size is the number of words (ASCII white space apart; null: 0). Each document of a source expects target /
-    source_size copies. The few documents above a fixed share of their source's target get whole copies in turn, largest
-    first, each making up for what the ones before left over; the others expect the same share each of what remains.
-    Those are ordered by size class within their source, so the sample is stratified, and a document's copies are the
-    integer boundaries that the running sum of expected copies, started at one random offset of the source, crosses at
-    it. The offset comes from the seed and the source's name, so reruns agree.
+    Size is the number of words (ASCII white space apart; null: 0). Each document of a source expects the same number of
+    copies, target / source_size. They are summed in one order, by size class and hash, so the sample is stratified;
+    a document's copies are the integer boundaries that the running sum, started at one random offset of the source,
+    crosses at it. The offset is drawn, by the seed and the source's name, from those that bring the words taken nearest
+    to the target: reruns agree, and large documents do not carry a source far off.
 
     The running sum is a document's rank in its (source, size class, salt) group after the count of all groups before
-    it; group counts have a bounded number of rows for each source, and no group holds a whole hot source. Rows with
-    equal or null ids and equal sizes are interchangeable. Sources without words have target 0 and give no copies. An
-    empty table gives an empty result. Other columns are ignored.
+    it; the number of groups grows with the rows, and no group holds a whole hot source. mark is a hash of the text; rows
+    that repeat id, text and source are interchangeable. Sources without words have target 0 and give no copies. An empty
+    table gives an empty result. Other columns are ignored.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    groups = sized.groupBy("source", "level", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    sources = groups.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(sources, weights, most).select(F.col("source").alias("s"), "source_size", "target")
-    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    known = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    is_large = (F.col("size") > 0) & (F.col("size") * LARGE > F.col("target"))
-    large = materialize(known.where(is_large).select("doc_id", "source", "size", "rate").groupBy("source").applyInArrow(_rounded(most), "doc_id long, source string, size long, copies long"))
-    fixed = large.groupBy("source").agg(F.sum("size").alias("fixed_size"), F.sum(F.col("size") * F.col("copies")).alias("fixed_taken"))
-    fixed = goal.join(fixed, F.col("source").eqNullSafe(F.col("s")), "left").select("s", "source_size", "target", F.coalesce("fixed_size", F.lit(0)).alias("f"), F.coalesce("fixed_taken", F.lit(0)).alias("t"))
-    left = F.col("source_size") - F.col("f")
-    fixed = fixed.select("s", "source_size", "target", F.when(left > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - F.col("t")) / left))).otherwise(F.lit(0.0)).alias("rate"))
-
-    small = known.where(~is_large).select("doc_id", "source", "size", "level", "salt")
-    counts = small.groupBy("source", "level", "salt").agg(F.count("*").alias("n"))
+    groups = materialize(sized.groupBy("source", "level", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    goal = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    goal = materialize(goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))))
     running = Window.partitionBy("source").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select("source", "level", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
-    plan = places.join(fixed, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("level").alias("l"), F.col("salt").alias("t"), "start", "source_size", "target", "rate")
-    ranked = small.withColumn("rank", F.row_number().over(Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id")))
+    places = groups.select("source", "level", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
+    plan = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("level").alias("l"), F.col("salt").alias("t"), "start", "source_size", "target", "rate")
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id", "mark")))
     both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")) & (F.col("salt") == F.col("t")))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    upto = lambda k: F.floor(k * F.col("rate") + offset)
-    place = F.col("start") + F.col("rank")
-    sampled = both.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), upto(place) - upto(place - 1)).cast("long").alias("copies"))
-    whole = large.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
-    return sampled.unionByName(whole).withColumn("taken", F.col("copies") * F.col("size"))
+    placed = materialize(both.select("doc_id", "mark", "source", "size", "source_size", "target", "rate", (F.col("start") + F.col("rank")).alias("place")))
+    offsets = _offsets(placed, goal, seed).withColumnRenamed("source", "s")
+    upto = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
+    copies = F.least(F.lit(most), upto(F.col("place")) - upto(F.col("place") - 1)).cast("long")
+    sampled = placed.join(offsets, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
+    return sampled.select("doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as mix() says, with all their columns. Options as in mix().
 
-    Rows with the same id share the copies that they get together as evenly as whole copies allow.
+    Rows that repeat id, text and source share the copies that they get together as evenly as whole copies allow.
+    Columns may have any names.
     """
-    id_col = options.get("id_col", "doc_id")
-    share = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
-    share = share.select(F.col("doc_id").alias("__id"), F.col("c").alias("__c"), F.col("m").alias("__m")).where("__c > 0")
-    joined = docs.join(share, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    turn = F.when(F.col("__m") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("__id").orderBy(F.lit(0))) - 1)
-    alone = joined.where("__m = 1").withColumn("__k", F.col("__c"))
-    many = joined.where("__m > 1").withColumn("__t", turn).withColumn("__k", F.expr("(__c * (__t + 1)) div __m - (__c * __t) div __m")).drop("__t")
-    return alone.unionByName(many).where("__k > 0").withColumn("__e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k")))).select(*docs.columns)
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+    keys = ["doc_id", "mark", "source"]
+    share = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("times")).where("copies > 0")
+    names = unused(docs.columns, "share_id", "share_mark", "share_source", "share_copies", "share_times", "share_turn", "share_each")
+    i, m, s, copies, times, turn, each = names
+    share = share.toDF(*names[:5])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (_mark(text_col) == F.col(m)) & F.col(source_col).cast("string").eqNullSafe(F.col(s))
+    joined = docs.join(share, same)
+    alone = joined.where(F.col(times) == 1).withColumn(each, F.col(copies))
+    many = joined.where(F.col(times) > 1).withColumn(turn, F.row_number().over(Window.partitionBy(i, m, s).orderBy(F.lit(0))))
+    many = many.withColumn(each, F.expr(f"({copies} * {turn}) div {times} - ({copies} * ({turn} - 1)) div {times}")).drop(turn)
+    out = alone.unionByName(many).where(F.col(each) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(each))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
