@@ -105,6 +105,29 @@ def test_keep_first_decides_by_row(spark):
     assert order(tuple(r) for r in got) == order(want)
 
 
+def test_jaccard_of_long_texts_in_small_pieces(spark, monkeypatch):
+    for name, value in (("ROUTE_BYTES", 30_000), ("TOKEN_PART_BYTES", 1), ("COUNT_TOKENS", 500), ("BATCH_TOKENS", 700), ("BLOCK_TOKENS", 9000)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(3000)] for _ in range(3)]
+    rows = []
+    for k in range(36):
+        words = list(base[k % 3])
+        for _ in range(rng.randrange(140)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(words[: rng.choice([3000, 2900, 1500])])))
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert order(tuple(r) for r in got) == order(brute_components(rows))
+
+
+def test_clashing_names_and_empty_tables_of_stages(spark, docs):
+    clash = docs.withColumnsRenamed({"key": "mark", "n": "ID", "h": "_id", "copies": "__id"}).withColumn("copies", F.lit(1)).withColumn("verdict_mark", F.lit("v"))
+    for f in (jaccard.keep_first, mixing.mixed):
+        got = f(clash)
+        assert got.columns == clash.columns and got.count() == f(docs).count()
+        assert f(clash.where("false")).count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1), (20, 3), (None, 4)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r[0]: r[1] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -137,6 +160,24 @@ def test_mix(spark, docs):
     assert out.count() == sum(r["copies"] for r in got)
 
 
+def test_mix_copies_against_a_loop(docs):
+    rows = order(map(tuple, mixing.mix(docs).collect()))
+    by = {}
+    for d, m, source, size, whole, target, copies, taken in rows:
+        by.setdefault(source, []).append((math.floor(math.log(size + 1.0) * 16), size, target / whole if whole else 0.0, copies, taken, target))
+    for own in by.values():
+        rate, sizes = own[0][2], sorted(x[1] for x in own)
+        assert all(math.floor(rate) <= x[3] <= math.ceil(rate) for x in own)
+        # some offset gives this many copies for each size class: its documents stand together in the order
+        classes = sorted({x[0] for x in own})
+        count = [sum(x[0] == c for x in own) for c in classes]
+        got = [sum(x[3] for x in own if x[0] == c) for c in classes]
+        ends = np.cumsum(count)
+        fits = [u / mixing.OFFSETS for u in range(mixing.OFFSETS) if (np.diff(np.floor(np.r_[0, ends] * rate + u / mixing.OFFSETS)) == got).all()]
+        assert fits
+        assert abs(sum(x[4] for x in own) - own[0][5]) <= max(sizes)
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(2)
     rows = [(k, " ".join("w" for _ in range(int(rng.paretovariate(1.2) * 20) % 9000)), "hot" if k % 3 else f"s{k % 7}") for k in range(1500)]

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import materialize, partitions_for
-
-#: Token bytes that one token partition should hold at most, by the size estimate of the input.
-TOKEN_PARTITION_BYTES = 64 << 20
-#: Members of a candidate group that meet in one task: the two sides of a block.
-BLOCK = 512
+from .store import materialize, partitions_for, unused
+
+#: Text that becomes rows for the token partitions at a time, and token bytes, by the size estimate of the input, of a partition and of a part of it.
+ROUTE_BYTES, TOKEN_PARTITION_BYTES, TOKEN_PART_BYTES = 2 << 20, 64 << 20, 8 << 20
+#: Tokens whose frequencies are counted at a time, and lists of tokens that go into one batch.
+COUNT_TOKENS, BATCH_TOKENS = 1 << 21, 1 << 19
+#: Members and tokens of a side of a block: two sides of a candidate group meet in one task.
+BLOCK, BLOCK_TOKENS = 512, 1 << 19
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 _ROUTED = "part int, keys binary, sizes binary, counts binary, tokens binary, docs binary"
@@ -27,91 +29,126 @@ def _binary(values: list) -> pa.Array:
     return pa.array([x if x is None else x.tobytes() for x in values], pa.binary())
 
 
+def _groups(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items whose sizes come to about ``limit`` together, at least one item each."""
+    return K.chunks(np.r_[0, np.cumsum(size, dtype=np.int64)], limit)
+
+
 def _route(width: int, parts: int):
-    """Batches of (doc_id, text) to a row for each token partition: the classes' slices of tokens, and documents dealt by class."""
+    """Texts to a row for each token part: the classes' slices of tokens, and documents dealt by class.
+
+    Holds about ROUTE_BYTES of text, or one longer text, with its tokens and some ten arrays of their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            present = np.asarray(ids.is_valid())
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            sets = list(K.shingle_sets(batch.column(1), width))
-            if not sets:
-                continue
-            n = np.array([len(s) for s in sets], np.int64)
-            keys = np.array([K.set_key(s) for s in sets], np.int64)
-            distinct, first = np.unique(keys, return_index=True)
-            keep = np.zeros(len(sets), bool)
-            keep[first] = True
-            keep &= n > 0
-            own = np.flatnonzero(keep)
-            tokens = np.concatenate([sets[i] for i in own]) if len(own) else np.empty(0, np.uint64)
-            row = np.repeat(own, n[own])
-            # high bits deal tokens out; sorting by partition and then row keeps each set's order
-            part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((tokens, row, part))
-            tokens, row, part = tokens[order], row[order], part[order]
-            cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])]) if len(part) else np.empty(0, np.int64)
-            size = np.diff(np.r_[cut, len(part)])
-            slice_part, slice_row = part[cut], row[cut]
-            doc_part = ((K.mix64(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            doc_order = np.argsort(doc_part, kind="stable")
-            used = np.unique(np.r_[slice_part, doc_part])
-            at_slice = np.searchsorted(slice_part, np.r_[used, parts])
-            at_token = np.searchsorted(part, np.r_[used, parts])
-            at_doc = np.searchsorted(doc_part[doc_order], np.r_[used, parts])
-            out: list[list] = [[], [], [], [], []]
-            for k in range(len(used)):
-                s, t, d = (slice(x[k], x[k + 1]) for x in (at_slice, at_token, at_doc))
-                rows, docs = slice_row[s], doc_order[d]
-                out[0].append(keys[rows])
-                out[1].append(n[rows])
-                out[2].append(size[s].astype(np.int32))
-                out[3].append(tokens[t])
-                out[4].append(np.stack([keys[docs], n[docs], ids[docs].astype(np.int64), present[docs].astype(np.int64)], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(_binary, out)], names=["part", "keys", "sizes", "counts", "tokens", "docs"])
+            _, offsets = K.utf8(batch.column(1))
+            for a, b in K.chunks(offsets, ROUTE_BYTES):
+                yield routed(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
+
+    def routed(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        present = np.asarray(ids.is_valid())
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        sets = list(K.shingle_sets(texts, width))
+        n = np.array([len(s) for s in sets], np.int64)
+        keys = np.array([K.set_key(s) for s in sets], np.int64)
+        distinct, first = np.unique(keys, return_index=True)
+        keep = np.zeros(len(sets), bool)
+        keep[first] = True
+        own = np.flatnonzero(keep & (n > 0))
+        tokens = np.concatenate([sets[i] for i in own]) if len(own) else np.empty(0, np.uint64)
+        del sets
+        row = np.repeat(own.astype(np.int32), n[own])
+        # high bits deal tokens out; a stable sort by part keeps rows and each set's order
+        part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        tokens, row, part = tokens[order], row[order], part[order]
+        del order
+        cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (row[1:] != row[:-1])]) if len(part) else np.empty(0, np.int64)
+        size = np.diff(np.r_[cut, len(part)])
+        slice_part, slice_row = part[cut], row[cut]
+        doc_part = ((K.mix64(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        doc_order = np.argsort(doc_part, kind="stable")
+        used = np.unique(np.r_[slice_part, doc_part])
+        at_slice = np.searchsorted(slice_part, np.r_[used, parts])
+        at_token = np.searchsorted(part, np.r_[used, parts])
+        at_doc = np.searchsorted(doc_part[doc_order], np.r_[used, parts])
+        out: list[list] = [[], [], [], [], []]
+        for k in range(len(used)):
+            s, t, d = (slice(x[k], x[k + 1]) for x in (at_slice, at_token, at_doc))
+            rows, docs = slice_row[s], doc_order[d]
+            out[0].append(keys[rows])
+            out[1].append(n[rows].astype(np.int32))
+            out[2].append(size[s].astype(np.int32))
+            out[3].append(tokens[t])
+            out[4].append(np.stack([keys[docs], n[docs], ids[docs].astype(np.int64), present[docs].astype(np.int64)], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(_binary, out)], names=["part", "keys", "sizes", "counts", "tokens", "docs"])
 
     return run
 
 
+def _frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of tokens that occur twice or more, rising, and how often each occurs; COUNT_TOKENS are sorted at a time."""
+    pieces = max(1, -(-len(tokens) // COUNT_TOKENS))
+    # the low bits are as good a hash as the high ones, which are alike within a part
+    piece = (tokens & np.uint64(0xFFFF)) * np.uint64(pieces) >> np.uint64(16) if pieces > 1 else None
+    where, times = [], []
+    for k in range(pieces):
+        own = np.flatnonzero(piece == k) if pieces > 1 else np.arange(len(tokens))
+        order = own[np.argsort(tokens[own])]
+        ranked = tokens[order]
+        edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
+        runs = np.diff(np.r_[edge, len(ranked)])
+        shared = np.repeat(runs > 1, runs)
+        where.append(order[shared])
+        times.append(np.repeat(runs[runs > 1], runs[runs > 1]).astype(np.int32))
+    where, times = np.concatenate(where), np.concatenate(times)
+    order = np.argsort(where)
+    return where[order], times[order]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one or more token partitions to documents and, for each class, its shared tokens with document frequencies."""
-    got: dict[int, list[list[np.ndarray]]] = {}
+    """Rows sorted by token part to documents and, for each class, its shared tokens with document frequencies.
+
+    Holds one part at a time: its slices, and sorted arrays of COUNT_TOKENS of its tokens.
+    """
     names = ["kind", "key", "n", "doc_id", "tokens", "dfs"]
+    at, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        keys, sizes, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+        _, first = np.unique(keys, return_index=True)  # a class arrives once from every piece of text that has it
+        if len(first) < len(keys):
+            kept = np.zeros(len(keys), bool)
+            kept[first] = True
+            tokens = tokens[np.repeat(kept, counts)]
+            keys, sizes, counts = keys[kept], sizes[kept], counts[kept]
+        where, df = _frequencies(tokens)
+        owner, tokens = np.searchsorted(np.cumsum(counts, dtype=np.int64), where, side="right"), tokens[where]
+        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+        stop = np.r_[cut[1:], len(owner)] if len(owner) else cut
+        for a, b in _groups(stop - cut + 8, BATCH_TOKENS):
+            own, spans = owner[cut[a:b]], list(zip(cut[a:b], stop[a:b], strict=True))
+            m = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[own]), pa.array(sizes[own].astype(np.int64)), pa.nulls(m, pa.int64()), _binary([tokens[x:y] for x, y in spans]), _binary([df[x:y] for x, y in spans])], names=names)
+
     for batch in batches:
         parts, *rest = (batch.column(k) for k in range(6))
         for k, p in enumerate(parts.to_pylist()):
-            keys, sizes, counts, tokens, docs = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(rest, (np.int64, np.int64, np.int32, np.uint64, np.int64), strict=True))
-            got.setdefault(p, []).append([keys.copy(), sizes.copy(), counts.copy(), tokens.copy()])
+            if p != at and held:
+                yield from done()
+            at = p
+            keys, sizes, counts, tokens, docs = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(rest, (np.int64, np.int32, np.int32, np.uint64, np.int64), strict=True))
+            if len(keys):
+                held.append([keys.copy(), sizes.copy(), counts.copy(), tokens.copy()])
             docs = docs.reshape(-1, 4)
             if len(docs):
                 m = len(docs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(docs[:, 2], mask=docs[:, 3] == 0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-    for p in list(got):
-        keys, sizes, counts, tokens = (np.concatenate(x) for x in zip(*got.pop(p), strict=True))
-        if not len(keys):
-            continue
-        ends = np.cumsum(counts, dtype=np.int64)
-        _, first = np.unique(keys, return_index=True)  # a class arrives once from every batch that has it
-        wanted = np.repeat(np.isin(np.arange(len(keys)), first, assume_unique=True), counts)
-        owner = np.repeat(np.arange(len(keys)), counts)[wanted]
-        tokens = tokens[wanted]
-        order = np.argsort(tokens, kind="stable")
-        ranked = tokens[order]
-        edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        runs = np.diff(np.r_[edge, len(ranked)])
-        df = np.empty(len(tokens), np.int32)
-        df[order] = np.repeat(runs, runs)
-        del order, ranked, ends
-        shared = df > 1
-        owner, tokens, df = owner[shared], tokens[shared], df[shared]
-        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-        stop = np.r_[cut[1:], len(owner)] if len(owner) else cut
-        for a in range(0, len(cut), 20_000):
-            own = owner[cut[a : a + 20_000]]
-            spans = list(zip(cut[a : a + 20_000], stop[a : a + 20_000], strict=True))
-            m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[own]), pa.array(sizes[own]), pa.nulls(m, pa.int64()), _binary([tokens[x:y] for x, y in spans]), _binary([df[x:y] for x, y in spans])], names=names)
+    if held:
+        yield from done()
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -126,11 +163,18 @@ def _assemble(percent: int):
     by rising document frequency, and by two independent hashes.
     """
 
+    names = ["key", "n", "tokens", "p1", "p2", "p3"]
+    longs = pa.list_(pa.int64())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:])], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
             key, n, slices = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            rows: list[tuple] = []
             for k in range(len(key)):
                 own = slices[k].values
                 tokens = np.frombuffer(b"".join(own.field("tokens").to_pylist()), np.uint64)
@@ -142,15 +186,21 @@ def _assemble(percent: int):
                 tokens, df = tokens[order], df[order]
                 sets = [tokens[np.lexsort((tokens, df))[:room]]] + [tokens[np.argsort(K.mix64(tokens ^ s), kind="stable")[:room]] for s in _SEEDS]
                 rows.append((int(key[k]), int(n[k]), tokens.view(np.int64), *(x.view(np.int64) for x in sets)))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:])], names=["key", "n", "tokens", "p1", "p2", "p3"])
+                size += len(tokens)
+                if size >= BATCH_TOKENS:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
 def _blocks(percent: int):
-    """Rows sorted by (pivot, bi, bj): compare a block's left rows with its right rows; emit a spanning set of its links."""
+    """Rows sorted by (pivot, bi, bj): compare a block's left rows with its right rows; emit a spanning set of its links.
+
+    Holds the token lists of one block, whose sides are bounded by members and by tokens, and some eight arrays of their number.
+    """
 
     def links(left: list, right: list) -> tuple[list, list]:
         a_out, b_out = [], []
@@ -205,16 +255,15 @@ def _blocks(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(4)]
-            key, n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            pivot, bi, bj, is_left, key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             lists = [batch.column(k) for k in range(6, 10)]
             for k in range(batch.num_rows):
-                here = (cols[0][k], cols[1][k], cols[2][k])
+                here = (pivot[k], bi[k], bj[k])
                 if here != at:
                     yield from done()
                     at, left, right = here, [], []
                 row = (int(key[k]), int(n[k]), *(c[k].values.to_numpy().copy() for c in lists))
-                (left if cols[3][k] else right).append(row)
+                (left if is_left[k] else right).append(row)
         yield from done()
 
     return run
@@ -238,9 +287,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids take part by text and never name a component unless all its ids are null. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions_for(texts, TOKEN_PARTITION_BYTES)
-    routed = texts.mapInArrow(_route(width, parts), _ROUTED)
-    table = materialize(routed.repartition(parts, "part").mapInArrow(_count, _TOKENS))
+    tasks = partitions_for(texts, TOKEN_PARTITION_BYTES)
+    routed = texts.mapInArrow(_route(width, tasks * -(-partitions_for(texts, TOKEN_PART_BYTES) // tasks)), _ROUTED)
+    table = materialize(routed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_count, _TOKENS))
     members = table.where("kind = 0").select("doc_id", "key", "n")
     classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
@@ -254,20 +303,24 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = able.select("key", "n", F.explode("p1").alias("token"))
     first = posts.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     group = posts.join(first, "token").select("pivot", "key").distinct()
-    rows = group.where("key <> pivot").join(able, "key")
-    heads = able.select(F.col("key").alias("pivot"), F.col("n").alias("n0"), F.col("tokens").alias("t0"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
+    # the prefixes of a pair meet first; whole lists only go to pairs that share tokens under all orders
+    heads = able.select(F.col("key").alias("pivot"), F.col("n").alias("n0"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
     near = F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0) and arrays_overlap(p2, q2) and arrays_overlap(p3, q3)")
-    both = F.when(near, F.size(F.array_intersect("tokens", "t0"))).otherwise(0).cast("long")
-    star = rows.join(heads, "pivot").select("pivot", "key", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
+    pairs = materialize(group.where("key <> pivot").join(able.select("key", "n", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near")))
+    whole = pairs.where("near").join(able.select("key", "tokens"), "key").join(able.select(F.col("key").alias("pivot"), F.col("tokens").alias("t0")), "pivot")
+    both = F.size(F.array_intersect("tokens", "t0")).cast("long")
+    linked = whole.select("pivot", "key", "n", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
+    star = linked.unionByName(pairs.where("not near").select("pivot", "key", "n", F.lit(False).alias("linked")))
     star = materialize(star)
-    sizes = star.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("r")).where("g > 1 and r > 0")
-    sizes = sizes.select("pivot", F.expr(f"(g + {BLOCK} - 1) div {BLOCK}").alias("bg"), F.expr(f"(r + {BLOCK} - 1) div {BLOCK}").alias("br"))
+    open_ = F.when(F.col("linked"), 0).otherwise(1)
+    sizes = star.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(open_).alias("r"), F.sum("n").alias("tg"), F.sum(F.col("n") * open_).alias("tr")).where("g > 1 and r > 0")
+    blocks_of = lambda rows, size: F.expr(f"greatest(({rows} + {BLOCK} - 1) div {BLOCK}, ({size} + {BLOCK_TOKENS} - 1) div {BLOCK_TOKENS})")
+    sizes = sizes.select("pivot", blocks_of("g", "tg").alias("bg"), blocks_of("r", "tr").alias("br"))
     open_rows = star.join(sizes, "pivot").select("pivot", "key", "linked", "bg", "br", F.pmod(F.xxhash64("key"), F.col("bg")).alias("own_g"), F.pmod(F.xxhash64("key"), F.col("br")).alias("own_r"))
     right = open_rows.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("br") - 1)).alias("bi"), F.col("own_g").alias("bj"), F.lit(False).alias("left"), "key")
     left = open_rows.where("not linked").select("pivot", F.col("own_r").alias("bi"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bg") - 1)).alias("bj"), F.lit(True).alias("left"), "key")
     blocks = left.unionByName(right).join(able, "key").select("pivot", "bi", "bj", "left", "key", "n", "tokens", "p1", "p2", "p3")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(parts, "pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj", "left")
+    blocks = blocks.repartition(partitions_for(blocks, TOKEN_PARTITION_BYTES), "pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj", "left")
     found = blocks.mapInArrow(_blocks(percent), "a long, b long")
     edges = star.where("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).unionByName(found)
 
@@ -285,27 +338,24 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Rows are told apart by id and text, texts by 64-bit hashes. A component's first row has its least id, null ids last,
     and of several texts with that id the one with the least hash; all other rows of the component go, whatever their id.
-    Of rows that repeat both id and text one stays; texts without words all stay.
+    Of rows that repeat both id and text one stays; texts without words all stay. Columns may have any names; an empty
+    table stays empty.
     """
-    ident, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    texts = docs.select(mark.alias("__t"), docs[text_col].alias("__text"))
-    classes = jaccard_classes(texts, id_col="__t", text_col="__text", width=width, percent=percent).where("n_shingles > 0")
-    component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("__c")).withColumnRenamed("doc_id", "__t"))
-    order = F.struct(F.col("__id").isNull().alias("last"), "__id", "__t")
-    rows = materialize(docs.select(ident.alias("__id"), mark.alias("__t")).groupBy("__id", "__t").agg(F.count("*").alias("__m")))
+    own_id, own_mark = unused(docs.columns, "id", "mark")
+    marked = docs.select("*", F.col(id_col).cast("long").alias(own_id), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(own_mark))
+    rows = materialize(marked.select(F.col(own_id).alias("id"), F.col(own_mark).alias("mark")).groupBy("id", "mark").agg(F.count("*").alias("times")))
+    texts = marked.select(F.col(own_mark).alias("mark"), F.col(text_col).alias("text"))
+    classes = jaccard_classes(texts, id_col="mark", text_col="text", width=width, percent=percent).where("n_shingles > 0")
+    component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("component")).withColumnRenamed("doc_id", "mark"))
     # written, so that both sides are plain exchanges, which AQE splits where one text has very many ids
-    placed = materialize(rows.join(component, "__t"))
-    first = placed.groupBy("__c").agg(F.min(order).alias("__f")).select(F.col("__f.__id").alias("__id"), F.col("__f.__t").alias("__t"))
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__t"] == b["__t"])
-    verdict = materialize(placed.join(first, same(placed, first), "left").select(placed["__id"], placed["__t"], "__m", first["__t"].isNull().alias("__gone")))
-    gone, repeated = verdict.where("__gone").select("__id", "__t"), verdict.where("not __gone and __m > 1").select("__id", "__t")
-    left = docs.join(gone, ident.eqNullSafe(F.col("__id")) & (mark == F.col("__t")), "left_anti")
-    return _once(left, repeated, id_col, text_col)
-
-
-def _once(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each repeated pair of id and text."""
-    ident, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    marked = docs.join(repeated, ident.eqNullSafe(F.col("__id")) & (mark == F.col("__t")), "left")
-    single = marked.where("__t is null").drop("__id", "__t")
-    return single.unionByName(marked.where("__t is not null").dropDuplicates(["__id", "__t"]).drop("__id", "__t"))
+    placed = materialize(rows.join(component, "mark"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    first = placed.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.mark").alias("first_mark"))
+    met = placed.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")), "left")
+    verdict = materialize(met.select("id", "mark", "times", F.col("first_mark").isNull().alias("gone")))
+    names = unused(marked.columns, "verdict_id", "verdict_mark")
+    renamed = lambda which: verdict.where(which).select(F.col("id").alias(names[0]), F.col("mark").alias(names[1]))
+    same = F.col(own_id).eqNullSafe(F.col(names[0])) & (F.col(own_mark) == F.col(names[1]))
+    left = marked.join(renamed("gone"), same, "left_anti").join(renamed("not gone and times > 1"), same, "left")
+    once = left.where(F.col(names[1]).isNotNull()).dropDuplicates([own_id, own_mark])
+    return left.where(F.col(names[1]).isNull()).unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -67,3 +67,9 @@ def partitions_for(df: DataFrame, each: int, least: int | None = None) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     return max(least, math.ceil(sum(x for x in sizes if x < 1 << 60) / each))
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names with as many underscores before them as tell them apart, in any case, from columns."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in ("_" * k + name for k in range(len(taken) + 1)) if n.lower() not in taken) for name in wanted]
