@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import materialize
+from .store import materialize, partitions_for
 from .vectors import packed as _packed
 from .vectors import unit
 
@@ -20,6 +20,8 @@ from .vectors import unit
 TABLES, BLOCKS, PROBES, SCALE = 10, 2, 4, 0.45
 #: Vectors of a bucket that meet in one task: the two sides of a block.
 SIDE = 1024
+#: Bytes of visits, by the size of the tables read, whose vectors meet in one task.
+PARTITION_BYTES = 16 << 20
 
 
 def _minimal() -> np.ndarray:
@@ -108,15 +110,34 @@ def _with_cells(kind: str, tables: int, blocks: int, probes: int, scale: float):
 
 
 def _compare(kind: str, tables: int, threshold: float):
-    """Rows sorted by (cell, bi, bj) to link counts (a = vector, w = links, b null) and spanning edges (a, b, w null)."""
+    """Rows sorted by (cell, bi, bj) to link counts (a = vector, w = links, b null) and spanning edges (a, b, w null).
+
+    Holds one block: at most SIDE vectors, on average, of each side with their cells.
+    """
+
+    def by_length(rows: list) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for r in rows:
+            out.setdefault(len(r[3]), []).append(r)
+        return out
 
     def links(cell: int, t: int, same: bool, left: list, right: list) -> tuple[dict[int, int], list[tuple[int, int]]]:
+        counts: dict[int, int] = {}
+        edges: list[tuple[int, int]] = []
+        # a cell's hash may be that of vectors of two lengths, which never link
+        ours, theirs = by_length(left), by_length(right)
+        for size in ours.keys() & theirs.keys():
+            c, e = links_of(cell, t, same, ours[size], theirs[size])
+            for k, w in c.items():
+                counts[k] = counts.get(k, 0) + w
+            edges += e
+        return counts, edges
+
+    def links_of(cell: int, t: int, same: bool, left: list, right: list) -> tuple[dict[int, int], list[tuple[int, int]]]:
         counts: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
         if not left or not right:
             return counts, edges
-        if len({len(r[3]) for r in (*left, *right)}) > 1:  # a hash that two sizes share
-            return counts, edges
         stack = lambda rows, k, type_: np.frombuffer(b"".join(r[k] for r in rows), type_).reshape(len(rows), -1)
         xl, xr = unit(stack(left, 3, kind)), unit(stack(right, 3, kind))
         cl, cr = (np.stack([r[4] for r in rows]).reshape(len(rows), tables, -1) for rows in (left, right))
@@ -190,7 +211,8 @@ def _compare(kind: str, tables: int, threshold: float):
 def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """Near-duplicate vectors of one label by cosine: vec_id, n_links, component_id, kept.
 
-    Vectors of equal label and bytes form a class, which is compared once and counts as often as it has members.
+    Vectors of equal label and bytes form a class, which is compared once and counts as often as it has members. Classes
+    have numbers of their own; ids only come in when components are named.
     Projections of the unit vector, shifted, are decoded to E8 lattice points; a table's cell is the points of several
     blocks. A vector lives in its home cell and visits the neighbouring cells that are nearest, in each table. Two that
     meet at the home of one of them are compared by exact cosine in double precision, in blocks of bounded size; a pair
@@ -198,13 +220,16 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     parameters about one and a half in a thousand pairs at the threshold are missed, closer pairs far less often.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with nothing and are
-    their own component. Vectors of different lengths never link. Null ids take part but name no component; repeated ids
-    give a row each. Other columns are ignored.
+    their own component. Vectors of different lengths never link. Null ids take part but name no component: one of null ids
+    alone has a null component_id and keeps all its rows. Repeated ids give a row each and may have different vectors. An
+    empty table gives no rows. Other columns are ignored.
     """
     plain, kind = _packed(df, id_col, vec_col, label_col)
     rows = materialize(plain)
     fit = rows.where("vec is not null and label is not null")
-    classes = fit.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).where("id is not null")
+    classes = fit.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    # the numbers are fixed once the table is written
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     table = materialize(classes.select("id", "vec", "label", "m").mapInArrow(_with_cells(kind, tables, blocks, probes, scale), "id long, m long, vec binary, cells array<long>"))
     each = 1 + probes
     visits = table.select("id", F.posexplode("cells").alias("pos", "cell")).select("id", "cell", F.expr(f"pos div {each}").cast("int").alias("t"), (F.col("pos") % each == 0).alias("home"))
@@ -212,13 +237,15 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     dealt = visits.join(alive, ["cell", "t"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     dealt = dealt.select("cell", F.least("own", "x").alias("bi"), F.greatest("own", "x").alias("bj"), "t", "own", "home", "id")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = dealt.join(table, "id").select("cell", "bi", "bj", "t", "own", "home", "id", "m", "vec", "cells")
-    full = full.repartition(parts, "cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "t", "id")
+    full = full.repartition(partitions_for(dealt, PARTITION_BYTES), "cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "t", "id")
     found = materialize(full.mapInArrow(_compare(kind, tables, threshold), "a long, b long, w long"))
     linked = components(found.where("b is not null").select("a", "b"))
     count = found.where("w is not null").groupBy("a").agg(F.sum("w").alias("w"))
-    whole = classes.join(count, classes["id"] == count["a"], "left").join(linked, classes["id"] == linked["node"], "left")
-    whole = whole.select(F.col("label").alias("l"), F.col("vec").alias("v"), (F.coalesce("w", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    named = classes.select("id", "least", "m").join(linked, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    whole = named.join(least, "c").join(count, F.col("id") == F.col("a"), "left").select("id", (F.coalesce("w", F.lit(0)) + F.col("m") - 1).alias("n"), "component_id")
+    whole = whole.join(classes.select("id", F.col("label").alias("l"), F.col("vec").alias("v")), "id").select("l", "v", "n", "component_id", F.lit(True).alias("fit"))
     out = rows.join(whole, (rows["vec"] == whole["v"]) & (rows["label"] == whole["l"]), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("fit"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
