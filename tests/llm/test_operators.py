@@ -353,6 +353,26 @@ def test_lattice_against_brute_force(spark, monkeypatch):
     assert order(map(tuple, got)) == order((r[0], len(n), c, r[0] == c) for r, n, c in zip(rows, near, least, strict=True))
 
 
+def test_lattice_with_repeated_and_null_ids(spark):
+    near = [1.0] * 7 + [1.01]
+    rows = [(7, [1.0] * 8, 1), (7, [1.0, -1.0] * 4, 1), (10, near, 1), (None, [5.0] + [0.0] * 7, 1), (None, [5.0] + [0.0] * 7, 1), (None, [1.0] * 8, 2), (3, [2.0] * 8, 2), (4, [1.0] * 8, None), (5, [1.0] * 4, 1), (6, [1.0] * 4, 1)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tables=24, probes=8).collect()
+    want = [(7, 1, 7, True), (7, 0, 7, True), (10, 1, 7, False), (None, 1, None, True), (None, 1, None, True), (None, 1, 3, False), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)]
+    assert order(map(tuple, got)) == order(want)
+    assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_lattice_cells_of_two_lengths_in_one_block():
+    x = [np.array([1.0] * n) for n in (4, 8)]
+    cell = np.array([5], np.int64)
+    rows = [(5, 0, 0, 0, 0, True, k, 1, x[k % 2].tobytes(), cell) for k in range(4)]
+    cols = list(zip(*rows, strict=True))
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f"c{k}" for k in range(10)])
+    out = [tuple(r.values()) for b in lattice._compare("<f8", 1, 0.93)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((a, b) for a, b, w in out if b is not None) == [(0, 2), (1, 3)]
+
+
 def test_decode_gives_the_nearest_lattice_point():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(300, 8)) * 2
@@ -383,6 +403,24 @@ def test_nearest_recall(spark):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_nearest_of_several_lengths_ties_and_repeats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6 if k % 3 else 9).tolist()) for k in range(160)] + [(1000, [1.0, 2.0])]
+    rows += [(300 + k, rows[50][1]) for k in range(8)] + [(100, rows[101][1]), (7, rows[100][1])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), rerank=200).collect()
+    for q in (0, 50, 100, 150, 300):
+        score = {}
+        for ident, v in rows:
+            for mine in (x for i, x in rows if i == q):
+                if ident != q and len(v) == len(mine):
+                    c = float(np.dot(v, mine) / (np.linalg.norm(v) * np.linalg.norm(mine)))
+                    score[ident] = max(score.get(ident, -2.0), c)
+        want = sorted(score.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [v for _, v, _ in own] == [v for v, _ in want] and np.allclose([s for _, _, s in own], [s for _, s in want])
+    assert {r["query_id"] for r in got} == {0, 50, 100, 150, 300}
+
+
 def test_nearest_in_many_dimensions(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 2000))
