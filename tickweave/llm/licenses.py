@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notice phrases of the method itself and their labels (fixed values).
@@ -35,8 +38,14 @@ TAG = "spdx license identifier"
 #: Weight of a label as evidence that the text states its license: an expression or a full notice counts more than a word.
 WEAK = {"copyright", "notice", "reserved"}
 
-_WORD_MAP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAG_LINE = re.compile(r"(?i)spdx[^0-9a-z\x80-￿]+license[^0-9a-z\x80-￿]+identifier[^0-9a-z\x80-￿(]*((?:[ \t]*(?:[A-Za-z0-9.+:-]+|[()]))*)")
+#: How much a license asks, by the start of its identifier; the longest start holds, others ask most (fixed values).
+ASKS = {"mit": 0, "bsd": 0, "apache": 0, "isc": 0, "zlib": 0, "unlicense": 0, "cc0": 0, "cc-by": 0, "public-domain": 0, "lgpl": 1, "mpl": 1, "epl": 1, "cddl": 1, "gpl": 2, "agpl": 2, "cc-by-sa": 2}
+UNKNOWN = 3
+
+#: Bytes between words once A-Z are lower-cased: all of ASCII but digits and a-z.
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[:128] = True
+_BETWEEN[0x30:0x3A] = _BETWEEN[0x61:0x7B] = False
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -82,19 +91,38 @@ def parse_expression(text: str) -> tuple[list[str], int]:
     return best
 
 
-def evaluate(rpn: list[str]) -> tuple[list[str], bool]:
-    """Identifiers that an expression offers, exceptions joined to theirs, and whether one of them alone suffices (an or at its top)."""
-    stack: list[tuple[list[str], bool]] = []
+@dataclass
+class Terms:
+    """What an expression comes to: identifiers it names, those that hold whichever alternative is taken, the number of
+    alternatives, and how much the one that asks least asks."""
+
+    offered: list[str]
+    required: set[str]
+    alternatives: int
+    asks: int
+
+
+def _asks(ident: str) -> int:
+    return ASKS[max(starts, key=len)] if (starts := [p for p in ASKS if ident.startswith(p)]) else UNKNOWN
+
+
+def evaluate(rpn: list[str]) -> Terms:
+    """Terms of an expression in reverse Polish order: ``or`` leaves a choice, ``and`` binds to both sides, ``with`` joins
+    an exception to its license and makes a license that asks much ask less. An empty expression has no alternative."""
+    stack: list[Terms] = []
     for token in rpn:
-        if token in _RANK:
-            right, left = stack.pop(), stack.pop()
-            if token == "with":
-                stack.append(([f"{x}-with-{right[0][0]}" for x in left[0]], False))
-            else:
-                stack.append((left[0] + right[0], token == "or"))
+        if token not in _RANK:
+            stack.append(Terms([token], {token}, 1, _asks(token)))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            named = lambda x, e=right.offered[0]: f"{x}-with-{e}"
+            stack.append(Terms([named(x) for x in left.offered], {named(x) for x in left.required}, left.alternatives, 1 if left.asks == 2 else left.asks))
+        elif token == "and":
+            stack.append(Terms(left.offered + right.offered, left.required | right.required, left.alternatives * right.alternatives, max(left.asks, right.asks)))
         else:
-            stack.append(([token], False))
-    return stack[0] if stack else ([], False)
+            stack.append(Terms(left.offered + right.offered, left.required & right.required, left.alternatives + right.alternatives, min(left.asks, right.asks)))
+    return stack[0] if stack else Terms([], set(), 0, 0)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -106,44 +134,76 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-def scan(text: str, found_by: ahocorasick.Automaton) -> tuple[int, list[tuple[int, str]], list[str]]:
-    """Number of words; places of phrases as (word index, phrase); labels of license expressions."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD_MAP).split()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    hits = [(end - size, phrase) for end, (phrase, size) in found_by.iter(line)]
-    places: list[tuple[int, str]] = []
-    at = index = 0
-    for start, phrase in sorted(hits):
-        index += line.count(" ", at, start)
-        at = start
-        places.append((index, phrase))
-    ids: list[str] = []
-    if any(p == TAG for _, p in places):
-        for m in _TAG_LINE.finditer(text):
-            ids += evaluate(parse_expression(m[1])[0])[0]
-    return len(words), places, ids
+def scan(data: np.ndarray, offsets: np.ndarray, found_by: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
+    """Texts' numbers of words; the row, word index and phrase of every place, in order; what follows a tag in its line, else "".
 
-
-_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, phrases array<string>, places array<long>, expressions array<string>"
+    All texts are one line for the automaton: their words after single spaces, a newline between texts.
+    """
+    low = K.LOWER[data]
+    starts, ends, first = K.word_spans(low, offsets, _BETWEEN)
+    size = ends - starts
+    before = np.cumsum(size + 1) - (size + 1)
+    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    place = before + 2 * (row_of + 1)  # a newline and a space before each text
+    line = np.full(int((size + 1).sum()) + 2 * (len(offsets) - 1), 0x20, np.uint8)
+    line[np.arange(int(size.sum())) + np.repeat(place - (np.cumsum(size) - size), size)] = low[np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)]
+    line[np.r_[0, np.cumsum(size + 1)][first[:-1]] + 2 * np.arange(len(offsets) - 1)] = 0x0A
+    hits = sorted((end - length + 1, phrase) for end, (phrase, length) in found_by.iter(line.tobytes().decode("latin-1")))
+    word = np.searchsorted(place, np.array([h[0] for h in hits], np.int64))
+    row = row_of[word] if len(word) else np.empty(0, np.int64)
+    after = []
+    for w, r, (_, phrase) in zip(word.tolist(), row.tolist(), hits, strict=True):
+        text = ""
+        if phrase == TAG:
+            rest = data[ends[w + 2] : offsets[r + 1]]
+            stop = np.flatnonzero((rest == 0x0A) | (rest == 0x0D))
+            text = rest[: stop[0] if len(stop) else None].tobytes().decode(errors="replace")
+        after.append(text)
+    return np.diff(first), row, word - first[row], [p for _, p in hits], after
+
+
+_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, phrases array<string>, places array<long>, expressions array<string>, required string, alternatives long, asks int"
+
+
+def _evidence(phrases: list[str], after: list[str]) -> tuple:
+    """base_labels, labels, score, expressions, required, alternatives and asks of one text's places."""
+    terms = [evaluate(parse_expression(x.lstrip(": \t"))[0]) for p, x in zip(phrases, after, strict=True) if p == TAG]
+    terms = [t for t in terms if t.offered]
+    base = {BASE[p] for p in phrases if p in BASE}
+    more = {NOTICES[p] for p in phrases if p in NOTICES}
+    offered, required = {i for t in terms for i in t.offered}, {i for t in terms for i in t.required}
+    strength = len(offered) + len(required) + sum(0.5 if x in WEAK else 1.0 for x in base | more)
+    alternatives, asks = 1, 0
+    for t in terms:  # a text's expressions hold together
+        alternatives, asks = min(alternatives * t.alternatives, 1 << 62), max(asks, t.asks)
+    join = lambda x: ",".join(sorted(x))
+    return join(base), join(base | more | offered), 1 - float(np.exp(-strength)), [i for t in terms for i in t.offered], join(required), alternatives if terms else 0, asks if terms else None
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holds about 4 MB of text, or one longer text, and some ten arrays of its bytes and words."""
     found_by = automaton()
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())]
+    strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
+    kinds = [pa.string(), pa.string(), pa.float64(), strings, pa.string(), pa.int64(), pa.int32()]
+    nothing = _evidence([], [])
     for batch in batches:
-        cols: list[list] = [[] for _ in kinds[1:]]
-        for text in batch.column(1):
-            n, places, ids = scan(text.as_py() or "", found_by)
-            base = [k for k, p in places if p in BASE]
-            labels = {BASE[p] for _, p in places if p in BASE}
-            more = {NOTICES[p] for _, p in places if p in NOTICES}
-            every = sorted(labels | more | set(ids))
-            strength = 2.0 * len(set(ids)) + sum(0.5 if x in WEAK else 1.0 for x in labels | more)
-            row = (n, len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted(labels)), ",".join(every), 1 - float(np.exp(-strength)), [p for _, p in places], [k for k, _ in places], ids)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names=names)
+        data, offsets = K.utf8(batch.column(1))
+        for a, b in K.chunks(offsets):
+            m = b - a
+            words, row, place, phrases, after = scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], found_by)
+            is_base = np.array([p in BASE for p in phrases], bool)
+            n_base = np.bincount(row[is_base], minlength=m)
+            first, last = np.full(m, np.iinfo(np.int64).max), np.full(m, -1)
+            np.minimum.at(first, row[is_base], place[is_base])
+            np.maximum.at(last, row[is_base], place[is_base])
+            cut = np.searchsorted(row, np.arange(m + 1))
+            found = [_evidence(phrases[x:y], after[x:y]) if y > x else nothing for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            cols = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            ends = pa.array(cut, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(phrases, pa.string())).cast(strings), pa.ListArray.from_arrays(ends, pa.array(place, pa.int64())).cast(longs)]
+            none = n_base == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(words), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), *cols[:3], *lists, *cols[3:]], names=names)
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +211,12 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     A-Z are lower-cased; words are runs of 0-9, a-z and characters beyond ASCII. n_base counts all places of the base
     phrases, first_word and last_word are their least and greatest start; base_labels and labels are distinct, sorted,
-    joined by commas, and empty without any. labels adds notices and the identifiers of license expressions after an
-    identifier tag. score grows with the number of distinct labels, 0 without any. Null texts are empty; no shuffle.
+    joined by commas, and empty without any. labels adds notices and the identifiers of license expressions, which
+    follow an identifier tag in its line. required are the identifiers that hold whichever alternative of the expressions
+    is taken, alternatives their number (0 without an expression), asks how much the one that asks least asks (0 to 3;
+    null without). score grows with the number of distinct labels, required identifiers counting twice, 0 without any.
+    Null texts are empty, very long ones a piece of their own; null and repeated ids give a row each; an empty table
+    gives none; no shuffle. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_rows, _SCHEMA)
