@@ -201,6 +201,38 @@ def test_variable_packing(docs):
     assert order(pieces) == order(want)
 
 
+def test_several_capacities_against_all_packings():
+    rng = random.Random(11)
+    sizes, hits = (4, 8, 16), 0
+    cost = {s: 1 + s + s * s / 32 for s in sizes}
+
+    def cheapest(rest, bins):
+        if not rest:
+            return sum(cost[min(s for s in sizes if s >= b)] for b in bins)
+        head, *tail = rest
+        options = [cheapest(tail, [*bins[:k], b + head, *bins[k + 1 :]]) for k, b in enumerate(bins) if b + head <= 16]
+        return min([*options, cheapest(tail, [*bins, head])])
+
+    for _ in range(60):
+        lengths = np.array([rng.choice([1, 2, 3, 4, 5, 7, 8, 11, 16]) for _ in range(rng.randrange(1, 7))])
+        bins, caps = packing.best_fit(lengths, sizes, 1, 32)
+        assert sorted(k for b in bins for k in b) == list(range(len(lengths)))
+        assert caps == [min(s for s in sizes if s >= lengths[b].sum()) for b in bins]
+        got, best = sum(cost[c] for c in caps), cheapest(lengths.tolist(), [])
+        assert best - 1e-9 <= got <= 1.3 * best
+        hits += got <= best + 1e-9
+    assert hits >= 45
+
+
+def test_several_capacities_are_used():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(4096, (rng.lognormal(5.5, 0.9, 4000)).astype(np.int64) + 1)
+    bins, caps = packing.best_fit(lengths, (512, 1024, 2048, 4096), 64, 16_384)
+    cost = lambda caps: sum(64 + c + c * c / 16_384 for c in caps)
+    assert len({c for c in caps if caps.count(c) > 5}) >= 3 and lengths.sum() / sum(caps) > 0.99
+    assert cost(caps) < cost(packing.best_fit(lengths, (4096,), 64, 16_384)[1])
+
+
 def test_room_is_best_fit():
     rng = random.Random(3)
     room, plain = packing.Room(100), []
@@ -257,12 +289,33 @@ def test_licenses_against_regular_expressions(spark):
 
 def test_license_expressions(spark):
     value = lambda s: licenses.evaluate(licenses.parse_expression(s)[0])
-    assert value("MIT OR (Apache-2.0 AND GPL-2.0+ WITH Classpath-exception-2.0)") == (["mit", "apache-2.0", "gpl-2.0+-with-classpath-exception-2.0"], True)
+    t = value("MIT OR (Apache-2.0 AND GPL-2.0+ WITH Classpath-exception-2.0)")
+    assert (t.offered, t.required, t.alternatives, t.asks) == (["mit", "apache-2.0", "gpl-2.0+-with-classpath-exception-2.0"], set(), 2, 0)
+    t = value("(MIT OR X1) AND (GPL-3.0 OR MPL-2.0) AND zlib")
+    assert (t.required, t.alternatives, t.asks) == ({"zlib"}, 4, 1)
+    assert (value("gpl-2.0").asks, value("gpl-2.0 with e").asks, value("x1").asks, value("cc-by-sa-4.0").asks, value("").alternatives) == (2, 1, 3, 2, 0)
     assert licenses.parse_expression("mit or bsd and zlib")[0] == ["mit", "bsd", "zlib", "and", "or"]
     assert licenses.parse_expression("mit or") == (["mit"], 1) and licenses.parse_expression(") mit") == ([], 0)
-    text = "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main;"
-    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert row["labels"] == "apache-2.0,mit" and row["base_labels"] == ""
+    texts = ["// SPDX-License-Identifier: MIT OR Apache-2.0\nint main;", "spdx license identifier MIT AND Apache-2.0", "SPDX-License-Identifier:\nMIT", "é SPDX-License-Identifier: (GPL-2.0 WITH x) é", "a SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC OR X1", "spdx license", "identifier mit"]
+    got = [r[1:] for r in sorted(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "labels", "required", "alternatives", "asks", "n_base").collect())]
+    assert got == [("apache-2.0,mit", "", 2, 0, 0), ("apache-2.0,mit", "apache-2.0,mit", 1, 0, 0), ("", "", 0, None, 0), ("gpl-2.0-with-x", "gpl-2.0-with-x", 1, 1, 0), ("isc,mit,x1", "mit", 2, 0, 0), ("", "", 0, None, 0), ("", "", 0, None, 0)]
+    scores = [r[0] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts[:2])), "doc_id long, text string")).orderBy("doc_id").select("score").collect()]
+    assert scores[0] < scores[1]
+
+
+def test_license_notices_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(kernels.chunks, "__defaults__", (400,))
+    rng = random.Random(7)
+    words = sorted({w for p in [*licenses.NOTICES, *licenses.BASE, "tag x é"] for w in p.split()})
+    texts = [rng.choice([" ", "-", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)] + [" ".join(rng.choice(words) for _ in range(9000)), "", None]
+    texts += [f"x {p} y" for p in licenses.NOTICES]
+    every = licenses.BASE | licenses.NOTICES
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(texts[r["doc_id"]]))
+        places = sorted((k, p) for p in every for k in range(len(got)) if got[k : k + len(p.split())] == p.split())
+        labels = {every[p] for _, p in places}
+        assert list(zip(r["places"], r["phrases"], strict=True)) == places and r["labels"] == ",".join(sorted(labels))
+        assert r["score"] == pytest.approx(1 - math.exp(-sum(0.5 if x in licenses.WEAK else 1 for x in labels)))
 
 
 def test_chat_round_trip(spark, monkeypatch):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -58,35 +60,64 @@ def split(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, start, np.minimum(sizes[row] - start, most)
 
 
-def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: int = 0) -> tuple[list[list[int]], list[int]]:
-    """Bins (indices into lengths) and their capacities: best fit in falling order of length over several bin sizes.
+def _opened(order: list[int], lengths: np.ndarray, sizes: list[int], cost: dict[int, float]) -> list[list[int]]:
+    """Bins (indices into lengths) by best fit in falling order of length.
 
-    A piece that no open bin can hold opens the size with the least cost, ``overhead`` and its capacity, for the words
-    that it can come to hold: the piece and as much of the rest as there is room for. Ties go to the smaller size. At
-    the end each bin shrinks to the least size that holds its contents.
+    A piece that no open bin can hold opens the size with the least cost for the words that it can expect to hold: the
+    piece and as much of the rest as fits beside it, by the lengths still to come and the room that open bins offer them.
     """
-    sizes = sorted(set(capacities))
     room = Room(sizes[-1])
     bins: list[list[int]] = []
-    cap: list[int] = []
-    rest = int(lengths.sum())
-    for k in np.argsort(-lengths, kind="stable").tolist():
+    falling = lengths[order]
+    after = np.r_[np.cumsum(falling[::-1])[::-1], 0]  # words from a place of the order on
+    rising = falling[::-1]
+    free_words = 0
+    for at, k in enumerate(order):
         need = int(lengths[k])
         found = room.take(need)
         if found is None:
-            size = min((s for s in sizes if s >= need), key=lambda s: ((overhead + s) / max(1, min(s, rest)), s))
-            found = (size, len(bins))
+            best = None
+            for s in sizes:
+                if s >= need:
+                    # the rest that fits beside the piece begins at the first shorter piece
+                    begin = max(at + 1, len(order) - int(np.searchsorted(rising, s - need, side="right")))
+                    rest = max(0, int(after[min(begin, len(order))]) - free_words)
+                    each = cost[s] / max(1, need + min(s - need, rest))
+                    if best is None or each < best[0]:
+                        best = (each, s)
+            found = (best[1], len(bins))
             bins.append([])
-            cap.append(size)
+            free_words += best[1]
         free, b = found
         bins[b].append(k)
         room.add(free - need, b)
-        rest -= need
-    used = [int(lengths[b].sum()) for b in bins]
-    return bins, [next(s for s in sizes if s >= u) for u in used]
+        free_words -= need
+    return bins
+
 
+def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: float = 0, square: float = 0) -> tuple[list[list[int]], list[int]]:
+    """Bins (indices into lengths) and their capacities, at the least cost found over the sizes that may be opened.
 
-def _pack(capacities: tuple[int, ...], overhead: int, window: int):
+    A bin of capacity s costs ``overhead + s``, and ``s * s / square`` if square is given: attention over a row grows with
+    its square. Pieces are packed once for each set of permitted sizes that holds the largest; at the end each bin
+    shrinks to the least permitted size that holds its contents, and the cheapest packing wins, ties by fewer bins, then
+    by the smaller set.
+    """
+    sizes = sorted(set(capacities))
+    cost = {s: overhead + s + (s * s / square if square else 0) for s in sizes}
+    order = np.argsort(-lengths, kind="stable").tolist()
+    best = None
+    for many in range(len(sizes)):
+        for others in combinations(sizes[:-1], many):
+            bins = _opened(order, lengths, [*others, sizes[-1]], cost)
+            caps = [sizes[bisect_left(sizes, int(lengths[b].sum()))] for b in bins]
+            rank = (sum(cost[c] for c in caps), len(bins))
+            if best is None or rank < best[0]:
+                best = rank, bins, caps
+    return best[1], best[2]
+
+
+def _pack(capacities: tuple[int, ...], overhead: float, square: float, window: int):
     names = ["bin_id", "capacity", "used", "doc_ids", "starts", "lengths"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +132,7 @@ def _pack(capacities: tuple[int, ...], overhead: int, window: int):
             nonlocal ids, cols, held, serial
             rows, starts, lengths = (np.concatenate(c) for c in cols)
             doc = pa.concat_arrays(ids)
-            bins, caps = best_fit(lengths, capacities, overhead)
+            bins, caps = best_fit(lengths, capacities, overhead, square)
             flat = np.array([k for b in bins for k in b], np.int64)
             ends = np.r_[0, np.cumsum([len(b) for b in bins])].astype(np.int32)
             used = np.add.reduceat(lengths[flat], ends[:-1])
@@ -134,15 +165,17 @@ def _pack(capacities: tuple[int, ...], overhead: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), overhead: int = 64, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), overhead: float = 64, square: float = 16_384, window: int = WINDOW) -> DataFrame:
     """Bins of whole documents by word counts: bin_id, capacity, used, doc_ids, starts, lengths (parallel arrays).
 
     A document longer than the largest capacity is split into pieces without loss: starts are word positions within its
-    document. Every row is packed, blank and null texts as pieces of length 0, repeated rows each for itself, null ids
-    as null entries. Pieces are packed in windows of bounded size within their input partition, so nothing is shuffled.
-    An empty table gives no bins. bin_id is unique; it depends on how the input is partitioned. Other columns are ignored.
+    document. The sizes are chosen jointly, at the least cost of a window's bins, where one of capacity s costs
+    overhead + s + s * s / square. Every row is packed, blank and null texts as pieces of length 0, repeated rows each
+    for itself, null ids as null entries. Pieces are packed in windows of bounded size within their input partition, so
+    nothing is shuffled. An empty table gives no bins. bin_id is unique; it depends on how the input is partitioned.
+    Other columns are ignored.
     """
     if min(capacities) < 1:
         raise ValueError("capacities must be positive")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_pack(tuple(capacities), overhead, window), "bin_id long, capacity int, used long, doc_ids array<long>, starts array<long>, lengths array<long>")
+    return texts.mapInArrow(_pack(tuple(capacities), overhead, square, window), "bin_id long, capacity int, used long, doc_ids array<long>, starts array<long>, lengths array<long>")
