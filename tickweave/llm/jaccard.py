@@ -14,14 +14,14 @@ from .graph import components
 from .store import materialize, partitions_for, unused
 
 #: Text that becomes rows for the token partitions at a time, and token bytes, by the size estimate of the input, of a partition and of a part of it.
-ROUTE_BYTES, TOKEN_PARTITION_BYTES, TOKEN_PART_BYTES = 2 << 20, 64 << 20, 8 << 20
+ROUTE_BYTES, TOKEN_PARTITION_BYTES, TOKEN_PART_BYTES = 2 << 20, 64 << 20, 16 << 20
 #: Tokens whose frequencies are counted at a time, and lists of tokens that go into one batch.
 COUNT_TOKENS, BATCH_TOKENS = 1 << 21, 1 << 19
 #: Members and tokens of a side of a block: two sides of a candidate group meet in one task.
 BLOCK, BLOCK_TOKENS = 512, 1 << 19
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
-_ROUTED = "part int, keys binary, sizes binary, counts binary, tokens binary, docs binary"
+_ROUTED = "part int, keys binary, counts binary, tokens binary, docs binary"
 _TOKENS = "kind int, key long, n long, doc_id long, tokens binary, dfs binary"
 
 
@@ -29,6 +29,18 @@ def _binary(values: list) -> pa.Array:
     return pa.array([x if x is None else x.tobytes() for x in values], pa.binary())
 
 
+def _low(tokens: np.ndarray) -> np.ndarray:
+    """The low six bytes of each token, which go over the network; the part says most of the rest."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _whole(raw: pa.Buffer, part: int) -> np.ndarray:
+    """Tokens of a part again: the low six bytes and the part's number."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64((part & 0xFFFF) << 48)
+
+
 def _groups(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes come to about ``limit`` together, at least one item each."""
     return K.chunks(np.r_[0, np.cumsum(size, dtype=np.int64)], limit)
@@ -73,16 +85,16 @@ def _route(width: int, parts: int):
         at_slice = np.searchsorted(slice_part, np.r_[used, parts])
         at_token = np.searchsorted(part, np.r_[used, parts])
         at_doc = np.searchsorted(doc_part[doc_order], np.r_[used, parts])
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
+        short = np.uint16 if not len(size) or size.max() < 1 << 16 else np.uint32
         for k in range(len(used)):
             s, t, d = (slice(x[k], x[k + 1]) for x in (at_slice, at_token, at_doc))
             rows, docs = slice_row[s], doc_order[d]
             out[0].append(keys[rows])
-            out[1].append(n[rows].astype(np.int32))
-            out[2].append(size[s].astype(np.int32))
-            out[3].append(tokens[t])
-            out[4].append(np.stack([keys[docs], n[docs], ids[docs].astype(np.int64), present[docs].astype(np.int64)], axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(_binary, out)], names=["part", "keys", "sizes", "counts", "tokens", "docs"])
+            out[1].append(size[s].astype(short))
+            out[2].append(_low(tokens[t]))
+            out[3].append(np.stack([keys[docs], n[docs], ids[docs].astype(np.int64), present[docs].astype(np.int64)], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(_binary, out)], names=["part", "keys", "counts", "tokens", "docs"])
 
     return run
 
@@ -117,14 +129,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         nonlocal held
-        keys, sizes, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
         held = []
         _, first = np.unique(keys, return_index=True)  # a class arrives once from every piece of text that has it
         if len(first) < len(keys):
             kept = np.zeros(len(keys), bool)
             kept[first] = True
             tokens = tokens[np.repeat(kept, counts)]
-            keys, sizes, counts = keys[kept], sizes[kept], counts[kept]
+            keys, counts = keys[kept], counts[kept]
         where, df = _frequencies(tokens)
         owner, tokens = np.searchsorted(np.cumsum(counts, dtype=np.int64), where, side="right"), tokens[where]
         cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
@@ -132,18 +144,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _groups(stop - cut + 8, BATCH_TOKENS):
             own, spans = owner[cut[a:b]], list(zip(cut[a:b], stop[a:b], strict=True))
             m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[own]), pa.array(sizes[own].astype(np.int64)), pa.nulls(m, pa.int64()), _binary([tokens[x:y] for x, y in spans]), _binary([df[x:y] for x, y in spans])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(keys[own]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), _binary([tokens[x:y] for x, y in spans]), _binary([df[x:y] for x, y in spans])], names=names)
 
     for batch in batches:
-        parts, *rest = (batch.column(k) for k in range(6))
+        parts, *rest = (batch.column(k) for k in range(5))
         for k, p in enumerate(parts.to_pylist()):
             if p != at and held:
                 yield from done()
             at = p
-            keys, sizes, counts, tokens, docs = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(rest, (np.int64, np.int32, np.int32, np.uint64, np.int64), strict=True))
+            keys, counts, tokens, docs = (c[k].as_buffer() for c in rest)
+            keys, docs = np.frombuffer(keys, np.int64), np.frombuffer(docs, np.int64).reshape(-1, 4)
             if len(keys):
-                held.append([keys.copy(), sizes.copy(), counts.copy(), tokens.copy()])
-            docs = docs.reshape(-1, 4)
+                held.append([keys.copy(), np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(keys) else np.uint32).astype(np.int32), _whole(tokens, p)])
             if len(docs):
                 m = len(docs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(docs[:, 2], mask=docs[:, 3] == 0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
@@ -291,10 +303,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     routed = texts.mapInArrow(_route(width, tasks * -(-partitions_for(texts, TOKEN_PART_BYTES) // tasks)), _ROUTED)
     table = materialize(routed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_count, _TOKENS))
     members = table.where("kind = 0").select("doc_id", "key", "n")
-    classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
-    slices = table.where("kind = 1").select("key", "n", F.struct("tokens", "dfs").alias("s"), (F.length("tokens") / 8).cast("long").alias("m"))
-    whole = slices.groupBy("key").agg(F.max("n").alias("n"), F.collect_list("s").alias("s"), F.sum("m").alias("m"))
+    slices = table.where("kind = 1").select("key", F.struct("tokens", "dfs").alias("s"), (F.length("tokens") / 8).cast("long").alias("m"))
+    whole = slices.groupBy("key").agg(F.collect_list("s").alias("s"), F.sum("m").alias("m")).join(classes.select("key", "n"), "key")
     # ceil(n * percent / 100) tokens or more must be shared for the prefix to hold a shared token
     whole = whole.where(F.expr(f"n - m < n - (n * {percent} + 99) div 100 + 1")).select("key", "n", "s")
     lists = "tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
@@ -325,7 +337,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = star.where("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).unionByName(found)
 
     linked = components(materialize(edges))
-    named = linked.join(classes, linked["node"] == classes["key"]).select("key", "component", "rep")
+    named = linked.join(classes.drop("n"), F.col("node") == F.col("key")).select("key", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = named.join(least, "component").select("key", "component_id")
     # written, so that both sides of the last join are plain exchanges, which AQE splits where one class has very many members
