@@ -363,18 +363,144 @@ def test_lm_counts_against_a_loop(docs):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_lm_softmax_sums_to_one_and_learns():
-    rng = np.random.default_rng(0)
-    h = kernels.mix64(np.tile(np.arange(50, dtype=np.uint64), 400))
-    first = np.array([0, len(h)])
-    w, power = ({k: np.zeros(s, np.float32) for k, s in lm.SHAPES.items()} for _ in range(2))
-    before = lm.leaf_log10(w, h, first)[0].mean()
-    assert before == pytest.approx(-math.log10(lm.LEAVES), abs=1e-5)
-    for _ in range(20):
-        lm._train(w, power, h, first, 0.3)
-    assert lm.leaf_log10(w, h, first)[0].mean() > before + 1
-    _, _, pc, pm, _, _ = lm._predict({k: rng.normal(size=s).astype(np.float32) for k, s in lm.SHAPES.items()}, lm.contexts(h[:99], np.array([0, 99])))
-    assert np.allclose(pc.sum(1), 1, atol=1e-5) and np.allclose(pm.sum(1), 1, atol=1e-5)
+def plain_lm(toks, held, words):
+    """Each text's log10 probability by loops, at the class level's prior and the word level's first weights."""
+    h = lambda w: lm._END if w is None else kernels.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]
+    texts = [np.array([h(w) for w in t], np.uint64) for t in toks]
+    count, pairs, triples = {}, {}, {}
+    cls = lambda x: int(words.classes(np.array([x], np.uint64), words.find(np.array([x], np.uint64)))[0])
+    events = []
+    for t, out in zip(texts, held, strict=True):
+        own, one, two = [], lm._BEGIN, lm._BEGIN
+        for x in t:
+            own.append((cls(x), int(x), int(one), (int(two), int(one))))
+            one, two = x, one
+        events.append(own)
+        for c, x, short, long in [] if out else own:
+            count[x] = count.get(x, 0) + 1
+            pairs.setdefault((c, short), {}).setdefault(x, [0, {}])[0] += 1
+            of = pairs[c, short][x][1]
+            of[long] = of.get(long, 0) + 1
+            triples[c, short, long] = triples.get((c, short, long), 0) + 1
+    start = lm.begin()
+
+    def weight(c, x, short, long):
+        base = count.get(x, 0) + 1
+        followers = pairs.get((c, short), {})
+        if x not in followers:
+            return base
+        n1, n2 = followers[x][0], followers[x][1].get(long, 0)
+        size1, size2 = sum(f[0] for f in followers.values()), triples.get((c, short, long), 0)
+        b1 = sum(n1 >= k for k in (2, 3, 5, 9, 33))
+        b2 = 0 if not n2 else 1 + sum(n2 >= k for k in (2, 3, 9))
+        value = start[b1] * math.log(n1 * words.mass[c] / (size1 * base)) + start[lm.PAIRS + b1 * lm.TRIPLES + b2]
+        if n2:
+            value += start[lm.PAIRS + lm.PAIRS * lm.TRIPLES + b2] * math.log(n2 * size1 / (size2 * n1))
+        return base * math.exp(max(-20, min(20, value)))
+
+    memory = {}
+
+    def log(c, x, short, long):
+        if (c, short, long) not in memory:
+            memory[c, short, long] = words.mass[c] + sum(weight(c, y, short, long) - count[y] - 1 for y in pairs.get((c, short), {}))
+        g = words.group_of[c]
+        return math.log10(words.prior[g] * words.mass[c] / words.group_mass[g] * weight(c, x, short, long) / memory[c, short, long])
+
+    return [sum(log(*e) for e in own) for own in events], log
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 40])
+def test_lm_score_against_a_loop(spark, docs, monkeypatch, shard):
+    monkeypatch.setattr(lm, "SHARD", shard)
+    monkeypatch.setattr(lm, "TOP", 300)
+    seen, own = [], lm.vocabulary
+    monkeypatch.setattr(lm, "vocabulary", lambda counts: seen.append(own(counts)) or seen[-1])
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    got = lm.score(docs, fold, rounds=0, updates=0).collect()
+    rows = made()
+    held = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
+    toks = [[*SPACE.findall(lower(r[1])), None] for r in rows]
+    want, log = plain_lm(toks, held, seen[0])
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want), rtol=1e-5)
+    if shard == 40:
+        assert seen[0].shards > lm.CLASSES and seen[0].rests > lm.RESTS
+    # all words and an unknown one of each dealt class, after some word that is known
+    known = sorted({w for t, out in zip(toks, held, strict=True) for w in t if not out and w is not None})
+    ends = np.cumsum([0, *(len(w.encode()) for w in known)])
+    hashes = kernels.word_hashes(np.frombuffer("".join(known).encode(), np.uint8), ends[:-1], ends[1:])
+    hashes = np.append(hashes, lm._END)
+    one = int(hashes[3])
+    long = (int(lm._BEGIN), one)
+    total = sum(10 ** log(int(c), int(x), one, long) for x, c in zip(hashes, seen[0].classes(hashes, seen[0].find(hashes)), strict=True))
+    total += sum(10 ** log(lm.BANDS + r, -1 - r, one, long) for r in range(seen[0].rests))
+    assert total == pytest.approx(1)
+
+
+def test_lm_does_not_depend_on_tasks(docs):
+    fold = F.col("doc_id") % 5 == 2
+    one, two = (sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(docs.repartition(n), fold).collect()) for n in (1, 5))
+    assert [x[:2] for x in one] == [x[:2] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two], rtol=1e-4)
+
+
+def test_lm_learns_and_beats_unigrams(spark):
+    rng = random.Random(12)
+    follow = {k: [rng.randrange(300) for _ in range(3)] for k in range(300)}
+
+    def text():
+        at, out = rng.randrange(300), []
+        for _ in range(80):
+            out.append(f"w{at}")
+            at = rng.choice(follow[at])
+        return " ".join(out)
+
+    given = spark.createDataFrame([(k, text()) for k in range(300)], "doc_id long, text string")
+    fold = F.col("doc_id") % 7 == 2
+    some, whole = (lm.score(given, fold, rounds=r, updates=u).where("held_out").agg(F.sum("score"), F.sum("base_score")).first() for r, u in ((0, 0), (3, 10)))
+    assert whole[0] > some[0] and whole[0] > 0.5 * whole[1]
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(4)
+    word, short, long = rng.integers(0, 9, 400), rng.integers(0, 5, 400).astype(np.uint32), rng.integers(0, 4, 400).astype(np.uint16)
+    known = rng.random(400) < 0.8
+    weight = np.bincount(word[known], minlength=9) + 1
+    grams = lm.Grams(word, weight, float(weight.sum() + 1), short, long, known)
+    t = lm.begin() + rng.normal(size=lm.SIZE) * 0.1
+    _, got, n = grams.loss(t)
+    assert n == known.sum()
+    for k in range(lm.SIZE):
+        e = np.zeros(lm.SIZE)
+        e[k] = 1e-5
+        assert (grams.loss(t + e)[0] - grams.loss(t - e)[0]) / 2e-5 == pytest.approx(got[k], abs=1e-3)
+    assert grams.loss(grams.learn(60))[0] < grams.loss(lm.begin())[0]
+    prior = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    cells = [rng.integers(0, lm.CELLS, 50) for _ in range(lm.FEATURES)]
+    group = rng.integers(0, lm.CLASSES, 50)
+    w = rng.normal(size=(lm.FEATURES, lm.CELLS, lm.CLASSES)).astype(np.float32)
+    grad, seen = lm.gradient(w, prior, cells, group)
+    assert seen.sum() == 50 * lm.FEATURES
+    loss = lambda w: -np.log(lm.group_probabilities(w, prior, cells)[np.arange(50), group].astype(float)).sum()
+    for k, place, c in ((0, 0, 3), (1, 7, 20), (2, 9, int(group[9]))):
+        e = np.zeros_like(w)
+        e[k, cells[k][place], c] = 1e-2
+        assert (loss(w + e) - loss(w - e)) / 2e-2 == pytest.approx(grad[k, cells[k][place], c], abs=2e-3)
+    assert loss(lm.step(w, prior, grad, seen, 0.6)) < loss(w)
+
+
+def test_lm_frequent_words_count_with_the_one_before(monkeypatch):
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(lm, "LONG", 2)
+    text = "the a the b the c the d"
+    h = next(lm.tokens(pa.array([text])))[2]
+    values, counts = np.unique(h, return_counts=True)
+    words = lm.Words(values, counts, np.zeros(len(values), np.int64), lm.RESTS, np.ones(lm.BANDS + lm.RESTS), len(h), len(values))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([False])], names=["doc_id", "text", "held"])
+    out = next(lm._deal(words, np.zeros((lm.FEATURES, lm.CELLS, lm.CLASSES), np.float32))(iter([batch])))
+    short = np.concatenate([np.frombuffer(x, np.uint32) for x in out.column(4).to_pylist() if x is not None])
+    # "the" stands four times: what follows it has a context of its own each time; the others' contexts are single words
+    assert len(short) == len(h) and len(set(short.tolist())) == len(h)
 
 
 def vectors(seed=0):
