@@ -633,12 +633,52 @@ def test_quality(spark):
     assert all(r["predicted"] == 1 for r in quality.score(given, none).collect())
 
 
-def test_gradients():
+def test_quality_gradients():
     rng = np.random.default_rng(0)
     x, begin = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9])
-    p = {"W": rng.normal(size=(quality.FEATURES, 4)) * 0.1, "b": np.zeros(4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": np.zeros(1)}
+    p = {"W": rng.normal(size=(quality.FEATURES, 4)) * 0.1, "b": rng.normal(size=4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": np.zeros(1)}
     s, a, *_ = quality._forward(p, x, begin)
     assert s.shape == (3,) and np.allclose(np.add.reduceat(a, begin[:-1]), 1)
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+    got = quality._gradients(p, x, begin, y, weight)
+
+    def loss():
+        s = quality._forward(p, x, begin)[0]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    for name, value in p.items():
+        flat, grad = value.reshape(-1), np.asarray(got[name]).reshape(-1)
+        for k in range(0, len(flat), max(1, len(flat) // 9)):
+            keep = flat[k]
+            flat[k] = keep + 1e-5
+            up = loss()
+            flat[k] = keep - 1e-5
+            down = loss()
+            flat[k] = keep
+            assert (up - down) / 2e-5 == pytest.approx(grad[k], abs=1e-7), name
+
+
+def test_quality_scores_against_a_loop():
+    rng = np.random.default_rng(1)
+    p = {"W": rng.normal(size=(quality.FEATURES, 4)), "b": rng.normal(size=4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": rng.normal(size=1)}
+    model = quality.Model(rng.normal(size=quality.FEATURES) * 0.1, rng.random(quality.FEATURES) + 0.5, p)
+    texts = ["some words, and 12 MORE! " * n for n in (1, 40, 7)] + [None, "", "$$$"]
+    _, _, x, begin = next(quality.passages(pa.array(texts)))
+    got = model.score(x, begin)[0]
+    for k in range(len(texts)):
+        bag = [[math.tanh(sum((v[i] - model.centre[i]) * model.scale[i] * p["W"][i, j] for i in range(len(v))) + p["b"][j]) for j in range(4)] for v in x[begin[k] : begin[k + 1]]]
+        gate = [sum(math.tanh(sum(h[i] * p["V"][i, j] for i in range(4))) / (1 + math.exp(-sum(h[i] * p["U"][i, j] for i in range(4)))) * p["w"][j] for j in range(3)) for h in bag]
+        total = sum(map(math.exp, gate))
+        z = sum(math.exp(g) / total * sum(h[j] * p["c"][j] for j in range(4)) for g, h in zip(gate, bag, strict=True)) + p["d"][0]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
+def test_quality_bounds_its_passages(spark, monkeypatch):
+    seen = learned(monkeypatch)
+    given = spark.createDataFrame([(k, ("word " if k % 2 else "$$ ") * 640) for k in range(20)], "doc_id long, text string")
+    quality.fit(given, spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int"), most=75, rounds=1)
+    assert seen == [(70, 7)]
+    assert quality.score(given.where("false"), quality.fit(given.where("false"), spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
 
 
 def test_passages_cover_the_whole_text():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import materialize
 
 #: Words of a passage.
 PASSAGE = 64
@@ -23,8 +22,8 @@ MARKS = b".,;:!?'\"()[]{}<>|#$%&*@/\\_=+-~^`"
 KINDS = 6 + len(MARKS)
 #: Word lengths 1 to 15 and more, then repeats: share of words equal to the one before, and of distinct words.
 FEATURES = KINDS + PAIRS + 16 + 2
-#: Labelled documents to learn from at most, those first by a hash of their id.
-SAMPLE = 6_000
+#: Labelled documents to learn from at most, those first by a hash of their id, and passages that they may have together.
+SAMPLE, SAMPLE_PASSAGES = 6_000, 1 << 18
 
 _KIND = np.full(256, 1, np.uint8)
 _KIND[0x20] = 0
@@ -115,18 +114,24 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray) -> tupl
     return s, a, z, h, v, u, of
 
 
-def _spread(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and standard deviation of x's columns, a document at a time."""
-    mean = sum(x[a : a + n].sum(0, dtype=np.float64) for a, n in zip(first, size, strict=True)) / size.sum()
-    square = sum(((x[a : a + n] - mean) ** 2).sum(0) for a, n in zip(first, size, strict=True)) / size.sum()
-    return mean, np.sqrt(square)
+def _gradients(p: dict[str, np.ndarray], x: np.ndarray, begin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the documents' weighted log loss by the parameters."""
+    s, a, z, h, v, u, of = _forward(p, x, begin)
+    ds = ((s - y) * weight).astype(x.dtype)
+    dz = ds[:, None] * p["c"]
+    da = (h * dz[of]).sum(1)
+    de = a * (da - _sums(a * da, begin)[of])
+    dvu = de[:, None] * p["w"]
+    dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
+    dh = (a[:, None] * dz[of] + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
 
 
 def _learn(x: np.ndarray, first_of: np.ndarray, size_of: np.ndarray, y: np.ndarray, hidden: int, rounds: int, seed: int) -> Model:
     """Adam on the documents' log loss, the rarer label weighted up to balance; document k has rows first_of[k] and on of x."""
     rng = np.random.default_rng(seed)
-    centre, spread = _spread(x, first_of, size_of)
-    scale = 1 / (spread + 1e-2)
+    centre = x.mean(0, dtype=np.float64)
+    scale = 1 / (np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - centre**2)) + 1e-2)
     draw = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
     p = {"W": draw(FEATURES, hidden), "b": np.zeros(hidden, np.float32), "V": draw(hidden, 16), "U": draw(hidden, 16), "w": draw(16), "c": draw(hidden), "d": np.zeros(1, np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -140,15 +145,7 @@ def _learn(x: np.ndarray, first_of: np.ndarray, size_of: np.ndarray, y: np.ndarr
             size = size_of[own]
             starts = np.r_[0, np.cumsum(size)]
             xs = ((x[np.repeat(first_of[own] - starts[:-1], size) + np.arange(starts[-1])] - centre) * scale).astype(np.float32)
-            s, a, z, h, v, u, of = _forward(p, xs, starts)
-            ds = ((s - y[own]) * weight[own] / len(own)).astype(np.float32)
-            dz = ds[:, None] * p["c"]
-            da = (h * dz[of]).sum(1)
-            de = a * (da - _sums(a * da, starts)[of])
-            dvu = de[:, None] * p["w"]
-            dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
-            dh = (a[:, None] * dz[of] + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
-            g = {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+            g = _gradients(p, xs, starts, y[own], weight[own] / len(own))
             step += 1
             for k in p:
                 grad = g[k] + (1e-4 * p[k] if p[k].ndim == 2 else 0)
@@ -160,37 +157,40 @@ def _learn(x: np.ndarray, first_of: np.ndarray, size_of: np.ndarray, y: np.ndarr
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, x, begin in passages(batch.column(1)):
+        for a, b, x, begin in passages(batch.column(2)):
             bags = [x[begin[k] : begin[k + 1]].tobytes() for k in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bags, pa.binary())], names=["y", "bag"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(2)), pa.array(np.diff(begin)), pa.array(bags, pa.binary())], names=["id", "y", "n", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, hidden: int = 32, rounds: int = 12, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = SAMPLE_PASSAGES, hidden: int = 32, rounds: int = 12, seed: int = 5) -> Model:
     """Learn from at most ``sample`` labelled documents, those of docs first by a hash of their id, of all their passages.
 
-    The passages lie in a file of the driver that is mapped into memory; a step reads its own documents from it. Labels that
-    are null, contradict each other for one id or belong to no row of docs are left out. With labels of one kind only, or none, the scores are that
+    Of these, in the same order, a document is left out whose passages would make more than ``most`` of all taken: the
+    driver holds that many at most. Labels that are null, contradict each other for one id or belong to no row of docs are
+    left out; rows that repeat an id are one document each. With labels of one kind only, or none, the scores are that
     label, or 1.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__z"))
-    present = docs.select(F.col(id_col).cast("long").alias("__id")).distinct()
-    chosen = known.where("__y = __z").join(present, "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__id", F.col("__y").cast("double").alias("__y"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    joined = texts.join(F.broadcast(chosen), "__id").select("__y", "__text")  # sample bounds the broadcast
-    with tempfile.TemporaryFile() as file:
-        found, at = [], 0
-        for y, bag in joined.mapInArrow(_features, "y double, bag binary").toLocalIterator():
-            found.append((y, hashlib.sha256(bag).digest(), at, len(bag) // (4 * FEATURES)))
-            file.write(bag)
-            at += found[-1][3]
-        file.flush()
-        found.sort()
-        y = [r[0] for r in found]
-        if len(set(y)) < 2:
-            zero = {"W": np.zeros((FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1), "d": np.array([30.0 if not y or y[0] else -30.0])}
-            return Model(np.zeros(FEATURES), np.zeros(FEATURES), zero)
-        first, size = (np.array([r[k] for r in found]) for k in (2, 3))
-        return _learn(np.memmap(file, np.float32, "r", shape=(at, FEATURES)), first, size, np.array(y), hidden, rounds, seed)
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
+    present = docs.select(F.col(id_col).cast("long").alias("id")).distinct()
+    chosen = known.where("y = z").join(present, "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", F.col("y").cast("double").alias("y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = texts.join(F.broadcast(chosen), "id").select("id", "y", "text")  # sample bounds the broadcast
+    table = materialize(joined.mapInArrow(_features, "id long, y double, n long, bag binary").withColumn("mark", F.xxhash64("bag")))
+    taken, total = {}, 0
+    for r in table.select("id", "mark", "y", "n").orderBy(F.xxhash64("id"), "id", "mark").limit(sample).collect():
+        if total + r["n"] <= most:
+            taken.setdefault((r["id"], r["mark"]), []).append((total, r["n"], r["y"]))
+            total += r["n"]
+    y = [place[2] for places in taken.values() for place in places]
+    if len(set(y)) < 2:
+        zero = {"W": np.zeros((FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1), "d": np.array([30.0 if not y or y[0] else -30.0])}
+        return Model(np.zeros(FEATURES), np.zeros(FEATURES), zero)
+    x = np.empty((total, FEATURES), np.float32)
+    for r in table.select("id", "mark", "bag").toLocalIterator():
+        for first, n, _ in taken.get((r["id"], r["mark"]), ()):
+            x[first : first + n] = np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES)
+    first, size = (np.array([place[k] for places in taken.values() for place in places]) for k in (0, 1))
+    return _learn(x, first, size, np.array(y), hidden, rounds, seed)
 
 
 def _score(model: Model, threshold: float):
