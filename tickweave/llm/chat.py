@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import partitions_for
 
 #: The template: header, role, newline, text, footer. Texts and roles hold neither control string once escaped.
 HEAD, MIDDLE, FOOT = b"### ", b":\n", b"\n</turn>\n"
-#: Rows or bytes after which a long conversation goes on in a further part.
-PART_ROWS, PART_BYTES = 4096, 16 << 20
+#: Rows or bytes after which a long conversation goes on in a further part; rows taken at a time; bytes written together at most, but for one longer text.
+PART_ROWS, PART_BYTES, PIECE_ROWS, MOST_BYTES = 4096, 16 << 20, 512, 1 << 29
+#: Bytes of turns, by the size of the tables read, that one task formats.
+PARTITION_BYTES = 64 << 20
 
 
 def _escaped(data: np.ndarray, offsets: np.ndarray, role: bool) -> np.ndarray:
@@ -85,8 +88,19 @@ def read_turns(data: bytes) -> list[tuple[bytes, bytes]]:
     return turns
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most PIECE_ROWS rows and about PART_BYTES of text."""
+    _, offsets = K.utf8(batch.column(3))
+    for a, b in K.chunks(offsets, PART_BYTES):
+        for at in range(a, b, PIECE_ROWS):
+            yield batch.slice(at, min(PIECE_ROWS, b - at))
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by conversation and turn to rows of whole conversations, long ones in parts."""
+    """Rows sorted by conversation and turn to rows of whole conversations, long ones in parts.
+
+    Holds about PART_BYTES of turns, or one longer text, and some six arrays of their bytes.
+    """
     names = ["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"]
     held: list[pa.RecordBatch] = []
     rows = size = 0
@@ -117,8 +131,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(parts, pa.int32()), pa.array(np.subtract(stops, first), pa.int64()), whole, *lists], names=names)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            piece = batch.slice(at, 512)
+        for piece in _pieces(batch):
+            if held and size + piece.nbytes > MOST_BYTES:
+                # the conversation at its end may go on in a further part
+                yield write(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
             held.append(piece)
             rows += piece.num_rows
             size += piece.nbytes
@@ -144,11 +161,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns go by turn, null first, ties by role and text; null roles and texts are empty; a null conv_id is one
     conversation. A backslash goes before each backslash and number sign, and before a slash after '<', so that no
     control string stands in a text; read_turns() undoes it. The loss mask covers the texts of role ``assistant``. A very
-    long conversation is written in consecutive parts of bounded size. Other columns are ignored.
+    long conversation is written in consecutive parts of bounded size; a single text must fit, escaped, in 2 GiB. An empty
+    table gives no rows. Other columns are ignored.
     """
     plain = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = plain.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = plain.repartition(partitions_for(plain, PARTITION_BYTES), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(_format, "conv_id long, part int, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>")
 
 
@@ -186,6 +203,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row(state), kinds, strict=True)], names=names)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Read format_chats() output back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Read format_chats() output back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A conversation's parts must follow each other. They do where format_chats() has just written them (in_order); a table
+    that was stored or dealt anew is brought into that order first.
+    """
+    if not in_order:
+        formatted = formatted.repartition(partitions_for(formatted, PARTITION_BYTES), "conv_id").sortWithinPartitions("conv_id", "part")
     return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
