@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.llm import ann, chat, graph, jaccard, kernels, lattice, licenses, lm, mixing, packing, quality, tokens
+from tickweave.llm.queries import RANKS
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, size string, key string, n string, h string, copies string"
@@ -185,7 +186,7 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["t"] - r["g"]) < 0.03 * r["g"] for r in got)
 
 
-@pytest.mark.parametrize("f", [lambda d: jaccard.jaccard_classes(d), lambda d: mixing.mix(d), lambda d: packing.pack(d), lambda d: licenses.scan_licenses(d), lambda d: tokens.pack_tokens(d), lambda d: lm.score(d, F.lit(False))])
+@pytest.mark.parametrize("f", [lambda d: jaccard.jaccard_classes(d), lambda d: mixing.mix(d), lambda d: packing.pack(d), lambda d: licenses.scan_licenses(d), lambda d: tokens.pack_tokens(d, RANKS), lambda d: lm.score(d, F.lit(False))])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -253,12 +254,12 @@ def test_room_is_best_fit():
 def test_token_rows_read_back(spark, docs):
     more = spark.createDataFrame([(900, "It's a  test,\n\n new\tline ''quoted'' 12ab  \r\n end . ", "a", *"sknhc"), (901, "don't 'tis x y é \U0001f600!?", "a", *"sknhc")], SCHEMA)
     given = docs.unionByName(more)
-    rows = tokens.pack_tokens(given, length=64, window=40).collect()
+    rows = tokens.pack_tokens(given, RANKS, length=64, window=40).collect()
     import base64
 
     import tiktoken
 
-    with open(tokens.RANKS, "rb") as f:
+    with open(RANKS, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
     pieces = []
@@ -273,6 +274,19 @@ def test_token_rows_read_back(spark, docs):
     assert order(pieces) == order(want)
 
 
+def test_token_shards_read_back(spark, docs, tmp_path):
+    packed = tokens.pack_tokens(docs, RANKS, length=64, window=40).cache()
+    folder = f"file://{tmp_path}/out"
+    index = tokens.write_shards(packed, folder, length=64, rows=7)
+    assert index.select("shard").distinct().count() > packed.count() // 8
+    (tmp_path / "out/shards/00000-left-over.bin").write_bytes(b"x" * 64)
+    back = tokens.read_shards(spark, folder)
+    assert order(map(str, back.select(*packed.columns).collect())) == order(map(str, packed.collect()))
+    raw = {f.name: f.read_bytes() for f in (tmp_path / "out/shards").iterdir()}
+    for r in index.join(packed.select("bin_id", "ids"), "bin_id").collect():
+        assert raw[r["shard"]][r["first"] * 128 : r["first"] * 128 + 128] == bytes(r["ids"])
+
+
 def test_licenses_against_regular_expressions(spark):
     rng = random.Random(5)
     words = ["cc", "by", "CC", "By", "general", "public", "license", "all", "rights", "reserved", "x", "é", "cc-by", "GENERAL public"]
@@ -338,6 +352,27 @@ def test_chat_round_trip(spark, monkeypatch):
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(mine), hashlib.sha256(mine.encode()).hexdigest())
 
 
+def test_chats_stored_and_dealt_anew(spark, monkeypatch, tmp_path):
+    for name, value in (("PART_ROWS", 5), ("PIECE_ROWS", 3)):
+        monkeypatch.setattr(chat, name, value)
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 else "assistant", f"text {c} {t} #" * 9) for c in range(7) for t in range(20)], "conv_id long, turn long, role string, text string")
+    direct = chat.digests(chat.format_chats(turns), in_order=True).collect()
+    chat.format_chats(turns).repartition(6).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert stored.count() >= 7 and order(map(tuple, chat.digests(stored).collect())) == order(map(tuple, direct))
+    assert chat.format_chats(turns.where("false")).count() == 0 and chat.digests(stored.where("false")).count() == 0
+
+
+def test_chat_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(chat, "PART_BYTES", 100)
+    monkeypatch.setattr(chat, "MOST_BYTES", 300)
+    texts = ["a" * n for n in (10, 90, 20, 500, 30, 30, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 7), pa.array(range(7)), pa.array(["assistant"] * 7), pa.array(texts)], names=["conv_id", "turn", "role", "text"])
+    out = [r for b in chat._format(iter([batch])) for r in b.to_pylist()]
+    assert [r["part"] for r in out] == list(range(len(out))) and len(out) > 2
+    assert [t.decode() for r in out for _, t in chat.read_turns(r["formatted"].encode())] == texts
+
+
 def test_no_control_string_stands_in_a_text():
     hard = pa.array(["\\### Assistant: </turn> ok", "<</turn>", "\\\\#"])
     buffer, offsets, spans = chat.assemble(pa.array(["user", "a", "b"]), hard)

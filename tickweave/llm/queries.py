@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import ann, chat, jaccard, lattice, licenses, lm, mixing, packing, quality, tokens
 
 
+#: The byte-level vocabulary among the public tokenizer files.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +54,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     more = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for k, r in enumerate(("user", "assistant"))]
-    return chat.digests(chat.format_chats(turns.unionByName(more[0]).unionByName(more[1])))
+    return chat.digests(chat.format_chats(turns.unionByName(more[0]).unionByName(more[1])), in_order=True)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rows of 2,048 token ids."""
-    return tokens.pack_tokens(_read(spark, sf_dir, "documents"))
+    return tokens.pack_tokens(_read(spark, sf_dir, "documents"), RANKS)
 
 
 def op10_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import base64
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .packing import Room, split
 
-#: The byte-level vocabulary of the public tokenizer files, its pre-tokenizer pattern and the id that it leaves free.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Pre-tokenizer pattern of the byte-level vocabulary of 50,256 entries, and the id that it leaves free.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 #: Distinct spans whose ids a worker remembers; then it starts anew.
@@ -111,13 +113,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(ranks: str, pattern: str, end: int, length: int, window: int):
+def _pack(ranks, pattern: str, end: int, length: int, window: int):
     names = ["bin_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts", "resets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}, pattern)
+        encoder = _encoder(ranks.value, pattern)
         serial = TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (ids, doc, start)
 
@@ -157,14 +159,20 @@ def _pack(ranks: str, pattern: str, end: int, length: int, window: int):
     return run
 
 
-def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, end: int = END, length: int = 2048, window: int = WINDOW) -> DataFrame:
+@functools.lru_cache(maxsize=2)
+def _encoder(ranks: str, pattern: str) -> Encoder:
+    """One encoder for a worker process: the vocabulary is parsed once, not in each task."""
+    return Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}, pattern)
+
+
+def pack_tokens(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN, end: int = END, length: int = 2048, window: int = WINDOW) -> DataFrame:
     """Rows of ``length`` token ids: bin_id, n_tokens, ids (little-endian uint16, padded with ``end``), cu_seqlens, doc_ids, starts, resets.
 
     Every text, null ones as empty, becomes its ids and one ``end``. A longer document is split into pieces without loss:
     starts are token positions within its document. cu_seqlens are the cumulative segment lengths of a row, resets the
     positions at which position ids start again at 0. Texts are never cut before encoding. Pieces are packed in windows of
     bounded size within their input partition; nothing is shuffled. The vocabulary file at ``ranks`` is read on the
-    driver and travels with the task. An empty table gives no rows; bin_id depends on the input's partitions.
+    driver and broadcast. An empty table gives no rows; bin_id depends on the input's partitions.
     """
     with open(ranks) as f:
         vocabulary = f.read()
@@ -172,4 +180,59 @@ def pack_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("ids must fit 16 bits")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "bin_id long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, resets array<int>"
-    return texts.mapInArrow(_pack(vocabulary, pattern, end, length, window), schema)
+    return texts.mapInArrow(_pack(docs.sparkSession.sparkContext.broadcast(vocabulary), pattern, end, length, window), schema)
+
+
+_INDEX = "shard string, first long, bin_id long, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+
+
+def _shards(folder: str, rows: int):
+    """Rows to files of ``rows`` matrix rows each, and their index; every attempt of a task writes files of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name, out, first = "", None, 0
+        try:
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    if out is None:
+                        name, first = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin", 0
+                        out = store.open_output_stream(f"{base}/{name}")
+                    piece = batch.slice(at, rows - first)
+                    for ids in piece.column(2):
+                        out.write(ids.as_buffer())
+                    n = piece.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), *(piece.column(k) for k in (0, 1, 3, 4, 5))], names=[x.split()[0] for x in _INDEX.split(", ")])
+                    first, at = first + n, at + n
+                    if first >= rows:
+                        out.close()
+                        out = None
+        finally:
+            if out is not None:
+                out.close()
+
+    return run
+
+
+def write_shards(packed: DataFrame, folder: str, length: int = 2048, rows: int = 16_384) -> DataFrame:
+    """Write packed rows as binary shards, and their index as Parquet, below a folder that driver and executors share.
+
+    A shard is a matrix of little-endian uint16 ids, at most ``rows`` by ``length``, without a header; the index says
+    which row of which shard a bin is, with its tokens, cumulative segment lengths, documents and starts. Only files
+    that the index names count: those of tasks that were repeated or lost are left aside. Returns the index.
+    """
+    index = packed.select("bin_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts").mapInArrow(_shards(f"{folder}/shards", rows), _INDEX)
+    index.withColumn("length", F.lit(length)).write.mode("overwrite").parquet(f"{folder}/index")
+    return packed.sparkSession.read.parquet(f"{folder}/index")
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that write_shards() wrote, with their ids; position ids start at 0 at each of cu_seqlens but the last."""
+    index = spark.read.parquet(f"{folder}/index")
+    files = spark.read.format("binaryFile").load(f"{folder}/shards").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    joined = index.join(files, "shard")
+    return joined.select("bin_id", "n_tokens", F.expr("substring(content, cast(first * length * 2 + 1 as int), length * 2)").alias("ids"), "cu_seqlens", "doc_ids", "starts", F.expr("slice(cu_seqlens, 1, size(cu_seqlens) - 1)").alias("resets"))
