@@ -1,7 +1,8 @@
 """A training corpus in four stages: quality, near duplicates, source mix, packed bins.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
-run() writes each stage's result as Parquet into the shared folder and reads it back as the next one's docs.
+run() writes each stage's result as Parquet into the shared folder and reads it back as the next one's docs; each table goes
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickweave.llm import jaccard, mixing, packing, quality
-from tickweave.llm.store import materialize
+from tickweave.store import materialize
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), *spent)
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
