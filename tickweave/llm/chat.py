@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import partitions_for
+from ..store import partitions_for
 
 #: The template: header, role, newline, text, footer. Texts and roles hold neither control string once escaped.
 HEAD, MIDDLE, FOOT = b"### ", b":\n", b"\n</turn>\n"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
+from ..store import discard, materialize
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import materialize, partitions_for, unused
+from ..store import materialize, partitions_for, unused
 
 #: Text that becomes rows for the token partitions at a time, and token bytes, by the size estimate of the input, of a partition and of a part of it.
 ROUTE_BYTES, TOKEN_PARTITION_BYTES, TOKEN_PART_BYTES = 2 << 20, 64 << 20, 16 << 20
@@ -323,7 +323,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     both = F.size(F.array_intersect("tokens", "t0")).cast("long")
     linked = whole.select("pivot", "key", "n", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
     star = linked.unionByName(pairs.where("not near").select("pivot", "key", "n", F.lit(False).alias("linked")))
-    star = materialize(star)
+    star = materialize(star, pairs)
     open_ = F.when(F.col("linked"), 0).otherwise(1)
     sizes = star.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(open_).alias("r"), F.sum("n").alias("tg"), F.sum(F.col("n") * open_).alias("tr")).where("g > 1 and r > 0")
     blocks_of = lambda rows, size: F.expr(f"greatest(({rows} + {BLOCK} - 1) div {BLOCK}, ({size} + {BLOCK_TOKENS} - 1) div {BLOCK_TOKENS})")
@@ -360,11 +360,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes = jaccard_classes(texts, id_col="mark", text_col="text", width=width, percent=percent).where("n_shingles > 0")
     component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("component")).withColumnRenamed("doc_id", "mark"))
     # written, so that both sides are plain exchanges, which AQE splits where one text has very many ids
-    placed = materialize(rows.join(component, "mark"))
+    placed = materialize(rows.join(component, "mark"), rows, component)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
     first = placed.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.mark").alias("first_mark"))
     met = placed.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")), "left")
-    verdict = materialize(met.select("id", "mark", "times", F.col("first_mark").isNull().alias("gone")))
+    verdict = materialize(met.select("id", "mark", "times", F.col("first_mark").isNull().alias("gone")), placed)
     names = unused(marked.columns, "verdict_id", "verdict_mark")
     renamed = lambda which: verdict.where(which).select(F.col("id").alias(names[0]), F.col("mark").alias(names[1]))
     same = F.col(own_id).eqNullSafe(F.col(names[0])) & (F.col(own_mark) == F.col(names[1]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import materialize, partitions_for
+from ..store import materialize, partitions_for
 from .vectors import packed as _packed
 from .vectors import unit
 
@@ -239,7 +239,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     dealt = dealt.select("cell", F.least("own", "x").alias("bi"), F.greatest("own", "x").alias("bj"), "t", "own", "home", "id")
     full = dealt.join(table, "id").select("cell", "bi", "bj", "t", "own", "home", "id", "m", "vec", "cells")
     full = full.repartition(partitions_for(dealt, PARTITION_BYTES), "cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "t", "id")
-    found = materialize(full.mapInArrow(_compare(kind, tables, threshold), "a long, b long, w long"))
+    found = materialize(full.mapInArrow(_compare(kind, tables, threshold), "a long, b long, w long"), table)
     linked = components(found.where("b is not null").select("a", "b"))
     count = found.where("w is not null").groupBy("a").agg(F.sum("w").alias("w"))
     named = classes.select("id", "least", "m").join(linked, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialize
+from ..store import discard, materialize
 
 #: Frequent words that every task is told, and the classes: bands of their ranks, and groups that the other words are dealt to.
 TOP, BANDS, RESTS = 65_535, 16, 16
@@ -535,7 +535,9 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     learn = texts.where("not held")
     # dealing by id and length keeps the rounds alike when ids repeat or are null
     deal = F.xxhash64("doc_id", F.length("text")).alias("deal")
-    words = vocabulary(materialize(learn.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))))
+    counts = materialize(learn.select("text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")))
+    words = vocabulary(counts)
+    discard(counts)
     w = train(learn.select("text", deal), words, rounds)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = texts.mapInArrow(_deal(words, w), _EVENTS).repartition(max(parts, -(-words.shards // SHARDS_A_TASK)), "shard").sortWithinPartitions("shard", "block")

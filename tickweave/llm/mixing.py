@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialize, unused
+from ..store import materialize, unused
 
 #: Places of the random offset, and the share of a target within which a source's offsets count as equally near it.
 OFFSETS, NEAR = 1024, 0.001

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialize
+from ..store import discard, materialize
 
 #: Words of a passage.
 PASSAGE = 64
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for r in table.select("id", "mark", "bag").toLocalIterator():
         for first, n, _ in taken.get((r["id"], r["mark"]), ()):
             x[first : first + n] = np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES)
+    discard(table)
     first, size = (np.array([place[k] for places in taken.values() for place in places]) for k in (0, 1))
     return _learn(x, first, size, np.array(y), hidden, rounds, seed)
 
