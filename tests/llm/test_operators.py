@@ -508,6 +508,10 @@ def test_lm_gradients():
         e[k] = 1e-5
         assert (grams.loss(t + e)[0] - grams.loss(t - e)[0]) / 2e-5 == pytest.approx(got[k], abs=1e-3)
     assert grams.loss(grams.learn(60))[0] < grams.loss(lm.begin())[0]
+    for turns in (1, 3, 9):
+        parts = [p.loss(t) for p in grams.turns(turns)]
+        assert sum(p[0] for p in parts) == pytest.approx(grams.loss(t)[0]) and sum(p[2] for p in parts) == n
+        assert np.allclose(sum(p[1] for p in parts), got)
     prior = np.full(lm.CLASSES, 1 / lm.CLASSES)
     cells = [rng.integers(0, lm.CELLS, 50) for _ in range(lm.FEATURES)]
     group = rng.integers(0, lm.CLASSES, 50)

@@ -29,9 +29,9 @@ CELLS, ROUNDS, STEP, BLOCK_BYTES, BLOCK_ROWS = 4096, 3, 32_768, 4 << 20, 1 << 15
 #: Features of a class: previous word, previous two words, the word before the previous.
 FEATURES = 3
 #: Events of a shard, on average at most, and the count from which a previous word only counts with the word before it.
-SHARD, LONG = 1 << 20, 1 << 22
-#: Gradient updates of a shard's weights, and shards that one task has, on average.
-UPDATES, SHARDS_A_TASK = 10, 8
+SHARD, LONG = 1 << 19, 1 << 22
+#: Gradient updates of a shard's weights, parts of its contexts that take turns in them, and shards that one task has, on average.
+UPDATES, TURNS, SHARDS_A_TASK = 16, 8, 16
 _END = np.uint64(0x2545F4914F6CDD1D)
 _BEGIN = np.uint64(0x9FB21C651E98DF25)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -325,11 +325,34 @@ class Grams:
         _fold(out, -share[g] * before, tuple(x[q] for x in self.of_pairs))
         return float((n * (np.log(rest) - np.log(weight))).sum()), out, int(n.sum())
 
-    def learn(self, updates: int = UPDATES, rate: float = 0.15) -> np.ndarray:
-        """Weights after so many updates by the gradient over all known events, each weight at its own pace (Adam)."""
+    def turns(self, parts: int) -> list[Grams]:
+        """The events in so many parts, of whole contexts: everything is sorted by context, so a part is a slice."""
+        ends = np.searchsorted(self.g1[self.pair], np.arange(len(self.size1) + 1))
+        cut = np.searchsorted(ends, np.linspace(0, len(self.pair), parts + 1)[1:-1])
+        out = []
+        for a, b in zip(np.r_[0, cut], np.r_[cut, len(self.size1)], strict=True):
+            part = object.__new__(Grams)
+            p0, p1 = np.searchsorted(self.g1, (a, b))
+            t0, t1 = ends[a], ends[b]
+            u0, u1 = np.searchsorted(self.up, (a, b))
+            part.n1, part.weight, part.g1, part.follows = self.n1[p0:p1], self.weight[p0:p1], self.g1[p0:p1] - a, self.follows[p0:p1]
+            part.n2, part.pair, part.g2, part.seen = self.n2[t0:t1], self.pair[t0:t1] - p0, self.g2[t0:t1] - u0, self.seen[t0:t1]
+            part.up, part.size1, part.size2, part.mass = self.up[u0:u1] - a, self.size1[a:b], self.size2[u0:u1], self.mass
+            part.place = np.cumsum(part.follows) - 1
+            f0, s0 = int(self.follows[:p0].sum()), int(self.seen[:t0].sum())
+            f1, s1 = f0 + int(part.follows.sum()), s0 + int(part.seen.sum())
+            part.of_pairs = tuple(x[f0:f1] for x in self.of_pairs)
+            part.of_triples, part.left_out = (tuple(x[s0:s1] for x in f) for f in (self.of_triples, self.left_out))
+            part.still = self.still[s0:s1]
+            out.append(part)
+        return out
+
+    def learn(self, updates: int = UPDATES, rate: float = 0.15, turns: int = TURNS) -> np.ndarray:
+        """Weights after so many updates, each by the gradient over one part of the contexts, and each weight at its own pace (Adam)."""
         t, first, second = begin(), np.zeros(SIZE), np.zeros(SIZE)
+        parts = self.turns(turns) if updates else []
         for k in range(1, updates + 1):
-            _, g, n = self.loss(t)
+            _, g, n = parts[k % turns].loss(t)
             g /= max(1, n)
             first, second = 0.8 * first + 0.2 * g, 0.9 * second + 0.1 * g * g
             t = t - rate * (first / (1 - 0.8**k)) / (np.sqrt(second / (1 - 0.9**k)) + 1e-6)
