@@ -2,34 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
+def bucketed(column: str, width: float) -> Column:
+    """Number of the bucket of ``width`` units that a place falls into."""
+    return F.expr(f"cast(floor(`{column}` / {width}) as bigint)")
+
+
+def carried(local: DataFrame, keys: list[str], bucket: str, totals: dict[str, Column], before: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add to rows what holds before their bucket: totals of each bucket, folded over the buckets before it.
+
+    local must be cheap to read twice: a written table. totals are aggregates of a bucket by name; before maps a new name
+    to (fold, total). There is one row for each bucket, which AQE broadcasts where they are few.
+    """
+    sums = local.groupBy(*keys, bucket).agg(*(c.alias(n) for n, c in totals.items()))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    on = [f"__on{k}" for k in range(len(keys) + 1)]
+    carry = sums.select(*(F.col(k).alias(o) for k, o in zip([*keys, bucket], on, strict=True)), *(_FOLD[f](t).over(earlier).alias(n) for n, (f, t) in before.items()))
+    same = F.lit(True)
+    for k, o in zip([*keys, bucket], on, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return local.join(carry, same, "left").drop(*on)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]], width: float) -> DataFrame:
     """Add running aggregates over ``order`` within ``keys``; columns maps a new name to ("sum" | "max" | "min" | "last", column).
 
-    Rows fall into buckets of ``width`` units of the first order column. Bucket totals get a running aggregate of their
-    own, one row for each bucket, which is added to the running aggregate inside the bucket. Equal to one window over
-    the whole key. ``last`` carries the last value that is not null. order must tell rows apart where ties matter.
+    Rows fall into buckets of ``width`` units of the first order column. The running aggregates inside buckets are
+    written once; bucket totals get a running aggregate of their own, one row for each bucket, which is added to them.
+    Equal to one window over the whole key. ``last`` carries the last value that is not null. order must tell rows apart
+    where ties matter. df is read once.
     """
-    bucket = F.expr(f"cast(floor(`{order[0]}` / {width}) as bigint)")
-    rows = df.withColumn("__bucket", bucket)
-    last_of = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
-    totals = rows.groupBy(*keys, "__bucket").agg(*(last_of(c).alias(f"__of_{n}") if f == "last" else _FOLD[f](c).alias(f"__of_{n}") for n, (f, c) in columns.items()))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__bucket", *(_FOLD[f](f"__of_{n}").over(before).alias(f"__of_{n}") for n, (f, _) in columns.items()))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *(_FOLD[f](c).over(inside).alias(n) for n, (f, c) in columns.items()))
-    # carry has one row for each bucket; keys may be null
-    on = [local[k].eqNullSafe(carry[k]) for k in [*keys, "__bucket"]]
-    both = local.join(carry, on, "left").drop(*(carry[k] for k in [*keys, "__bucket"]))
+    rows = df.withColumn("__bucket", bucketed(order[0], width))
+    local = materialize(rows.select("*", *(_FOLD[f](c).over(inside).alias(n) for n, (f, c) in columns.items())))
+    # a bucket's last running value is its total
+    end = lambda n, f: _FOLD[f](n) if f in ("max", "min") else F.max_by(n, F.struct(*order))
+    last = lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order)))
+    totals = {f"__of_{n}": F.sum(c) if f == "sum" else last(n) if f == "last" else end(n, f) for n, (f, c) in columns.items()}
+    both = carried(local, keys, "__bucket", totals, {f"__up_{n}": (f, f"__of_{n}") for n, (f, _) in columns.items()})
     for n, (f, _) in columns.items():
-        c = F.col(f"__of_{n}")
+        c = F.col(f"__up_{n}")
         whole = {"sum": F.coalesce(F.col(n), F.lit(0)) + F.coalesce(c, F.lit(0)), "max": F.greatest(n, c), "min": F.least(n, c), "last": F.coalesce(F.col(n), c)}[f]
-        both = both.withColumn(n, whole).drop(f"__of_{n}")
+        both = both.withColumn(n, whole).drop(f"__up_{n}")
     return both.drop("__bucket")
 
 
@@ -39,20 +60,27 @@ def closed_window(df: DataFrame, keys: list[str], time: str, columns: dict[str,
     Each row is copied into the next bucket of one width, and the window runs inside a bucket: it reaches one bucket back
     at most, so the copies complete it. Rows at one time all see each other.
     """
-    size = width if not isinstance(width, int) else F.lit(width)
-    bucket = F.floor(F.col(time) / size).cast("bigint")
-    copies = df.withColumn("__w", size).withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__k"))
-    # RANGE offsets must be literals, so time is counted from the bucket before: a window starts after width fewer units
+    copies = copied(df, time, width)
+    # RANGE offsets must be literals, so a width that differs between keys needs what left the window: see window_sums
+    summed = window_sums(copies, [*keys, "__bucket"], time, columns, width, df.columns)
+    return summed.where("__k = 0").drop("__k", "__bucket", "__w")
+
+
+def copied(df: DataFrame, time: str, width) -> DataFrame:
+    """Rows in their bucket of one width (__k 0) and in the next one (__k 1), with __bucket and __w, the width."""
+    size = F.lit(width) if isinstance(width, int) else width
+    bucket = F.floor(F.col(time) / F.col("__w")).cast("bigint")
+    return df.withColumn("__w", size).withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__k"))
+
+
+def window_sums(copies: DataFrame, keys: list[str], time: str, columns: dict[str, str], width, own: list[str]) -> DataFrame:
+    """Sums over [time - __w, time] within keys, for rows of copied(); every column of ``own`` and the copies' stay."""
     if isinstance(width, int):
-        over = Window.partitionBy(*keys, "__bucket").orderBy(time).rangeBetween(-width, 0)
-        summed = copies.select("*", *(F.sum(c).over(over).alias(n) for n, c in columns.items()))
-        return summed.where("__k = 0").drop("__k", "__bucket", "__w")
-    # width differs between keys: subtract the running sum of what left the window
-    leave = copies.select(*keys, "__bucket", (F.col(time) + F.col("__w") + 1).alias("__t"), F.lit(1).alias("__x"), *(F.col(c).alias(f"__of_{n}") for n, c in columns.items()))
-    stay = copies.withColumn("__t", F.col(time)).withColumn("__x", F.lit(0)).select("*", *(F.col(c).alias(f"__of_{n}") for n, c in columns.items()))
-    leave = leave.select("*", *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in keys))
-    leave = leave.select(*keys, "__bucket", "__t", "__x", *(c for c in df.columns if c not in keys), F.lit(1).alias("__k"), *((-F.col(f"__of_{n}")).alias(f"__of_{n}") for n in columns))
-    both = stay.select(*leave.columns).unionByName(leave)
-    over = Window.partitionBy(*keys, "__bucket").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.select("*", *(F.sum(f"__of_{n}").over(over).alias(n) for n in columns))
-    return summed.where("__k = 0 and __x = 0").select(*df.columns, *columns)
+        over = Window.partitionBy(*keys).orderBy(time).rangeBetween(-width, 0)
+        return copies.select("*", *(F.sum(c).over(over).alias(n) for n, c in columns.items()))
+    # subtract the running sum of what left the window: a row leaves just after its time and one width
+    put = F.array(F.struct(F.col(time).alias("t"), F.lit(1).alias("sign")), F.struct((F.col(time) + F.col("__w") + 1).alias("t"), F.lit(-1).alias("sign")))
+    both = copies.withColumn("__put", F.explode(put))
+    over = Window.partitionBy(*keys).orderBy("__put.t").rangeBetween(Window.unboundedPreceding, 0)
+    summed = both.select("*", *(F.sum(F.col(c) * F.col("__put.sign")).over(over).alias(n) for n, c in columns.items()))
+    return summed.where("__put.sign = 1").drop("__put")

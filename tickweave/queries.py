@@ -13,6 +13,7 @@ from .operators.prefix import closed_window, running
 from .plans import frames as frame_plan
 from .plans.maps import asof
 from .sources import adapter
+from .store import materialize
 
 S, FRAME, LAG = adapter.SECOND, adapter.FRAME, adapter.LAG
 #: Width of a bucket of the two-level running aggregates, in microseconds: one day.
@@ -96,13 +97,14 @@ def a7_last_wins(spark, sf_dir):
 
 
 def _swept(spark, sf_dir):
-    return frame_plan.swept(_cells(spark, sf_dir), ["song"], "exact_t", S, BUCKET)
+    return frame_plan.swept(_cells(spark, sf_dir), ["song"], "exact_t", S)
 
 
 def _frames(spark, sf_dir):
-    song = _song(spark, sf_dir)
+    song = materialize(_song(spark, sf_dir))
     ends = song.agg(F.lit(0).alias("song"), F.expr(f"max(exact_t) div {FRAME} + 1").alias("last_frame"))
-    return frame_plan.grid(_swept(spark, sf_dir).withColumn("frame", F.expr(f"exact_t div {FRAME}")), ends, ["song"], LAG)
+    swept = frame_plan.swept(ticks.tick_cells(adapter.deltas(song), ["song"], "exact_t"), ["song"], "exact_t", S)
+    return frame_plan.grid(swept.withColumn("frame", F.expr(f"exact_t div {FRAME}")), ends, ["song"], LAG, "exact_t")
 
 
 @query("SELECT CAST(max(cum) AS BIGINT) AS notes, CAST(max(cum_cc) AS BIGINT) AS cc, count(*) AS frames, CAST(max(peak_poly) AS BIGINT) AS peak_poly, CAST(max(peak_nps) AS BIGINT) AS peak_nps FROM ff")
