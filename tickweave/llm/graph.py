@@ -17,7 +17,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     not matter; no edges give no rows.
     """
     canonical = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before, held = canonical(edges), None, None
+    now = held = materialize(canonical(edges))
+    before = None
     for _ in range(limit):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         minima = least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
@@ -28,8 +29,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         step = materialize(canonical(small))
         state = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         discard(minima)
-        if held is not None:
-            discard(held)
+        discard(held)
         held = now = step
         if tuple(state) == before:
             break

@@ -336,7 +336,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = blocks.mapInArrow(_blocks(percent), "a long, b long")
     edges = star.where("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b")).unionByName(found)
 
-    linked = components(materialize(edges))
+    linked = components(edges)
     named = linked.join(classes.drop("n"), F.col("node") == F.col("key")).select("key", "component", "rep")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = named.join(least, "component").select("key", "component_id")
