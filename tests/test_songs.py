@@ -128,6 +128,115 @@ def test_dedup_changes_nothing(spark):
     assert dedup.distinct_tracks(tracks).count() == 2
 
 
+def plain_decode(body):
+    """The event grammar, a byte at a time."""
+    at = tick = status = 0
+    out = []
+
+    def number():
+        nonlocal at
+        value = 0
+        for _ in range(4):
+            if at < len(body):
+                value, more = value << 7 | body[at] & 0x7F, body[at] >= 0x80
+                at += 1
+                if not more:
+                    break
+        return value
+
+    while at < len(body):
+        tick += number()
+        if at >= len(body):
+            break
+        if body[at] < 0x80:
+            event = status
+            if not event:
+                continue
+        else:
+            event = body[at]
+            at += 1
+            status = event if event < 0xF0 else status if event not in (*range(0xF0, 0xF8), 0xFF) else 0
+        if event < 0xF0:
+            need = 1 if event >> 4 in (0xC, 0xD) else 2
+            if at + need > len(body):
+                break
+            if event >> 4 in (8, 9, 0xB):
+                out.append((tick, {8: "off", 9: "on", 0xB: "cc"}[event >> 4], event & 15, body[at] & 0x7F, body[at + 1], None, None, None))
+            at += need
+        elif event == 0xFF:
+            if at >= len(body):
+                break
+            kind = body[at]
+            at += 1
+            size = number()
+            if at + size > len(body):
+                break
+            if kind == 0x51 and size == 3 and any(body[at : at + 3]):
+                out.append((tick, "tempo", None, None, None, int.from_bytes(body[at : at + 3], "big"), None, None))
+            if kind == 0x58 and size == 4:
+                out.append((tick, "timesig", None, None, None, None, body[at], body[at + 1]))
+            at += size
+        elif event in (0xF0, 0xF7):
+            size = number()
+            at += size
+        else:
+            at += {0xF1: 1, 0xF3: 1, 0xF2: 2}.get(event, 0)
+    return [*out, (tick, "end", *[None] * 6)]
+
+
+def test_decoder_against_a_loop():
+    rng = random.Random(1)
+    for k in range(600):
+        n = rng.randrange(300)
+        body = bytes(rng.choice([rng.randrange(256), 0, 0x90, 60, 100, 0xFF, 0x58, 4, 3, 0x51]) for _ in range(n))
+        low = lambda m: bytes(rng.randrange(128) for _ in range(m))
+        if k % 5 == 1:
+            body = b"".join(bytes([rng.randrange(3), rng.choice([0x80, 0x90, 0xB1, 0xE0])]) + low(2) for _ in range(n)) + body
+        if k % 5 == 2:
+            body = b"\0\x91" + low(2) + low(3 * n) + body
+        if k % 5 == 3:
+            body = b"".join(bytes([0x80 | rng.randrange(9)]) + low(1) + b"\x90" + low(2) for _ in range(n)) + body
+        if k % 5 == 4:
+            body = b"\0\xC0\5" + b"".join(b"\0\x80" + low(2) + bytes([0x81]) + low(3) for _ in range(n)) + body
+        assert list(midi.decode(body)) == plain_decode(body)
+
+
+def test_time_signatures_have_four_bytes():
+    body = b"".join(b"\1\xff\x58" + bytes([n, *([3] * n)]) for n in (2, 3, 4, 5))
+    assert [(e[0], e[6], e[7]) for e in midi.decode(body) if e[1] == "timesig"] == [(3, 3, 3)]
+
+
+def test_broken_files(spark, monkeypatch):
+    import zstandard
+
+    cut = TEMPO2[:-3]
+    files = [TEMPO2, cut, b"junk", gzip.compress(TEMPO2)[:-9], b"MThd", zstandard.compress(TEMPO2), lzma.compress(b"7z\xbc\xaf\x27\x1c" + bytes(20)), gzip.compress(TEMPO2) + b"tail"]
+    given = spark.createDataFrame([(f"s{k}", bytearray(f)) for k, f in enumerate(files)], "song_id string, content binary")
+    rows = midi.split_tracks(given, "rows").collect()
+    errors = {r["song_id"]: r["error"] for r in rows if r["error"]}
+    assert set(errors) == {"s2", "s3", "s4", "s6"} and "7z archive inside" in errors["s6"]
+    assert {r["song_id"] for r in midi.split_tracks(given).collect()} == {"s0", "s1", "s5", "s7"}
+    assert [(r["declared"] - r["len"]) for r in rows if r["song_id"] == "s1"] == [0, 0, 3]
+    with pytest.raises(Exception, match=r"s[2346]: "):
+        midi.split_tracks(given, "fail").count()
+    monkeypatch.setattr(midi, "MOST_BYTES", 1000)
+    for pack in (gzip.compress, lzma.compress, zstandard.compress):
+        assert midi.unwrap(pack(b"x" * 1000)) == b"x" * 1000
+        with pytest.raises(midi.TooLong):
+            midi.unwrap(pack(b"x" * 1001))
+
+
+def test_tracks_read_by_span(spark, tmp_path):
+    (tmp_path / "a.mid").write_bytes(TEMPO2)
+    (tmp_path / "b.mid").write_bytes(TEMPO2[:-3])
+    (tmp_path / "c.txt").write_bytes(b"nothing")
+    whole, spans = midi.read_tracks(spark, str(tmp_path)), midi.read_track_spans(spark, str(tmp_path), mode="rows", each=16)
+    key = ["song_id", "track_idx"]
+    assert spans.where("error is null").orderBy(*key).collect() == whole.orderBy(*key).collect()
+    assert spans.where("error is not null").count() == 1
+    assert midi.read_events(spans).where("kind = 'on'").count() == 8
+
+
 def test_meter(spark):
     songs = spark.createDataFrame([("a", 480, 6000)], "song_id string, ppqn int, max_tick long")
     changes = [(100, 0, 2), (3840, 3, 2), (4560, 6, 3), (5000, 6, 3), (5500, 7, 3), (5500, 6, 3)]
@@ -157,6 +266,18 @@ def test_cell_files(spark):
     assert [tuple(r) for r in got] == [("0", 3, 2), ("1", big, big)]
 
 
+def test_cell_files_with_data_after_the_table(spark):
+    good = cell_file([(0, 500000)], [(1, 0), (0, 0), (0, 3)])
+    files = [("a/b.CJCMCG", good + b"more"), ("a/b", good + b"more"), ("c.cjcmcg.gz", gzip.compress(good)), ("junk", b"x")]
+    given = spark.createDataFrame([(k, bytearray(f)) for k, f in files], "song_id string, content binary")
+    rows = cells.read_cells(given, "rows").collect()
+    assert {r["song_id"] for r in rows if r["kind"] == "error"} == {"a/b", "junk"}
+    assert [r["note"] for r in rows if r["kind"] == "note"] == ["4 bytes after the table are left aside"]
+    assert cells.parse(cell_file([], [(128, 300), (0, 1 << 40)])).offs.tolist() == [300, 1 << 40]
+    shown = cells.cell_frames(cells.read_cells(given)).groupBy("song_id").agg(F.max("cumulative_notes"), F.max("peak_polyphony")).collect()
+    assert sorted(map(tuple, shown)) == [("a/b.CJCMCG", 1, 1), ("c.cjcmcg.gz", 1, 1)]
+
+
 def test_goldens(spark):
     row = {"cumulative_notes": 34, "total_notes": 678901, "polyphony": 7, "peak_polyphony": 912, "bpm": 123.456789, "timestamp_sec": -2.5, "cc_per_second": 1234.4, "peak_cps": 56789.0, "cumulative_cc": 7, "total_cc": 1205}
     df = spark.createDataFrame([row])
