@@ -27,6 +27,13 @@ def held(df: DataFrame, keys: list[str], order: list[str], change: str = "x", ou
     return counted.withColumn("delta", F.col(out) - (F.col("__p") - F.col("__low"))).drop("__s", "__p", "__low")
 
 
+def status_kind(status: Column) -> tuple[Column, Column]:
+    """Kind and channel of a status byte; system bytes have the kind system."""
+    names = F.array(*map(F.lit, ("off", "on", "touch", "cc", "program", "pressure", "bend", "system")))
+    high = F.shiftright(status.cast("int"), 4)
+    return F.when(high.between(8, 15), F.element_at(names, high - 7)), status.cast("int").bitwiseAND(F.lit(15))
+
+
 def note_deltas(events: DataFrame, vel0_is_off: bool = True, close_held: bool = False) -> DataFrame:
     """Events (song_id, track_idx, seq, tick, kind, channel, key, value) to (song_id, track_idx, tick, ons, delta, cc).
 

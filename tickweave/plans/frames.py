@@ -86,12 +86,27 @@ def _with_carry(local: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame, songs: DataFrame, fps: float = 60.0, end_delay: float = 0.0) -> DataFrame:
+#: Ticks that times of at most 28 bits can reach, and bins of a frame where peaks are taken over bins.
+SPEC_TICK, BINS = 1 << 28, 8
+
+
+def guarded(events: DataFrame, spec: str) -> DataFrame:
+    """Events, with an error at one beyond SPEC_TICK if spec is fail; proceed and bins let it pass."""
+    if spec not in ("proceed", "bins", "fail"):
+        raise ValueError("spec must be proceed, bins or fail")
+    if spec != "fail":
+        return events
+    broken = F.raise_error(F.concat(F.lit("a tick beyond the specification: "), F.col("tick").cast("string")))
+    return events.withColumn("tick", F.when(F.col("tick") > SPEC_TICK, broken.cast("long")).otherwise(F.col("tick")))
+
+
+def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame, songs: DataFrame, fps: float = 60.0, end_delay: float = 0.0, bins: bool = False) -> DataFrame:
     """Frames of songs: deltas (song_id, tick, ons, delta, cc), songs (song_id, ppqn, max_tick).
 
     A cell's second is that of its tempo segment plus its ticks there; its frame is the second times fps, cut. A frame
     shows all cells up to its end, the tempo at its end, and the tick at its start. nps counts the last second in
     frames; peak_nps is exact, over closed seconds in integers. Frames of the end delay have no rates and no polyphony.
+    With bins, for very long songs, cells are added up in eighths of a frame first and peaks are those of the bins.
     """
     keys = ["song_id"]
     # every table that several steps read is written once
@@ -106,7 +121,13 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     timed = at.withColumn("sec", F.col("tempo.time_sec") + since.cast("double") * F.col("tempo.us").cast("double") * inv)
     timed = timed.withColumn("at_t", F.col("tempo.exact_t") + since * F.col("tempo.us")).withColumn("second", F.lit(1_000_000).cast("long") * F.col("ppqn"))
     timed = timed.withColumn("frame", F.floor(F.col("sec") * fps).cast("long")).drop("tempo")
-    done = swept(timed, keys, "at_t", F.col("second"))
+    lag = max(1, int(fps + 0.5))
+    if bins:
+        binned = timed.withColumn("at_t", F.floor(F.col("sec") * fps * BINS).cast("long"))
+        binned = binned.groupBy("song_id", "at_t").agg(*(F.sum(c).alias(c) for c in ("ons", "delta", "cc"))).withColumn("frame", F.expr(f"at_t div {BINS}"))
+        done = swept(binned, keys, "at_t", lag * BINS - 1)
+    else:
+        done = swept(timed, keys, "at_t", F.col("second"))
 
     # one row for each song: its last tempo
     reached = songs.select("song_id", "ppqn", F.col("max_tick").alias("tick")).join(tempo_named, "song_id").where("seg <= tick or seg = 0")
@@ -114,7 +135,6 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     length = F.col("tempo.time_sec") + (F.col("tick") - F.col("tempo.t0")).cast("double") * F.col("tempo.us").cast("double") * inv
     ends = last.select("song_id", "ppqn", F.col("tick").alias("max_tick"), length.alias("max_time"))
     ends = ends.select("*", (F.ceil(F.col("max_time") * fps) + 1).cast("long").alias("song_frames"), F.ceil((F.col("max_time") + end_delay) * fps).cast("long").alias("last_frame"))
-    lag = max(1, int(fps + 0.5))
     state = grid(done, ends.select("song_id", "last_frame"), keys, lag, "at_t").join(ends, "song_id")
     rate = lambda k: k.cast("double") * F.lit(1.0 / fps)
     by_time = tempo.select("song_id", F.col("time_sec").alias("seg"), F.struct("tick", "us", "time_sec").alias("tempo"))
@@ -167,15 +187,19 @@ def songs_of(events: DataFrame, tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("song_id").agg(F.max("ppqn").alias("ppqn")).join(events.groupBy("song_id").agg(F.max("tick").alias("max_tick")), "song_id")
 
 
-def from_events(events: DataFrame, tracks: DataFrame, fps: float = 60.0, end_delay: float = 0.0, vel0_is_off: bool = True, close_held: bool = False) -> DataFrame:
-    """Frames of decoded songs. Tracks are decoded once: their events are written, and everything else reads that table."""
+def from_events(events: DataFrame, tracks: DataFrame, fps: float = 60.0, end_delay: float = 0.0, vel0_is_off: bool = True, close_held: bool = False, spec: str = "proceed") -> DataFrame:
+    """Frames of decoded songs. Tracks are decoded once: their events are written, and everything else reads that table.
+
+    spec says what a tick beyond SPEC_TICK does: nothing, since ticks are never an axis here (proceed), peaks over bins
+    for all songs (bins), or an error (fail).
+    """
     from ..operators.ticks import note_deltas
 
-    events = materialize(events)
+    events = materialize(guarded(events, spec))
     deltas = note_deltas(events, vel0_is_off, close_held)
     tempo = events.where("kind = 'tempo'").select("song_id", "tick", "us", "track_idx", "seq")
     meter = events.where("kind = 'timesig'").select("song_id", "tick", "num", "dd", "track_idx", "seq")
-    return frames(deltas.drop("track_idx"), tempo, meter, songs_of(events, tracks.drop("bytes")), fps, end_delay)
+    return frames(deltas.drop("track_idx"), tempo, meter, songs_of(events, tracks.drop("bytes")), fps, end_delay, spec == "bins")
 
 
 def song_totals(frames: DataFrame, songs: DataFrame, end_delay: float = 0.0) -> DataFrame:

@@ -216,12 +216,12 @@ def w7_binned_window(spark, sf_dir):
     return _longs(closed_window(every.join(bins, "bin", "left").na.fill(0, ["ons"]), ["song"], "bin", {"nps": "ons"}, LAG * 8 - 1), "bin", "nps")
 
 
-_TEMPO = "tm AS (SELECT exact_t // 1000 AS tick, 250000 + (seq % 8) * 125000 AS us FROM ev WHERE event_type = 'signup' AND seq % 50 = 0)"
+_TEMPO = "tm AS (SELECT tick, 250000 + (seq % 8) * 125000 AS us FROM (SELECT exact_t // 1000 AS tick, arg_max(seq, seq) AS seq FROM ev WHERE event_type = 'signup' GROUP BY 1))"
 
 
 def _tempo(spark, sf_dir):
-    """Tempo changes taken from some signups, as the catalog defines them."""
-    rows = _song(spark, sf_dir).where("event_type = 'signup' and seq % 50 = 0")
+    """Tempo changes: every signup is one."""
+    rows = _song(spark, sf_dir).where("event_type = 'signup'")
     changes = rows.select(F.lit("s").alias("song_id"), F.expr("exact_t div 1000").alias("tick"), (F.lit(250000) + F.col("seq") % 8 * 125000).alias("us"), F.lit(0).alias("track_idx"), "seq")
     songs = spark.createDataFrame([("s", 480)], "song_id string, ppqn int")
     from .plans.maps import tempo_map
@@ -247,22 +247,39 @@ def j1_asof_tick(spark, sf_dir):
     return got.select("seq", F.col("tempo.us").alias("us"), (F.col("tempo.exact_t") + (F.col("tick") - F.col("tempo.tick")) * F.col("tempo.us")).alias("place"))
 
 
-@query(f", {_ANCHORS} SELECT k.k, a.us, a.tick + (k.at - a.exact_t) // a.us AS tick FROM (SELECT k, k * 480000000000 AS at FROM range(0, 2000) g(k)) k ASOF JOIN an a ON a.exact_t <= k.at")
+#: Exact time between the places looked up by time: a frame of the song, which ends beyond its last event.
+_STEP = 480_000_000_000
+_LAST = "(SELECT max(a.exact_t + (v.tick - a.tick) * a.us) FROM (SELECT exact_t // 1000 AS tick FROM ev) v ASOF JOIN an a ON a.tick <= v.tick)"
+_PLACES = f"k AS (SELECT unnest(range(0, CAST({_LAST} // {_STEP} + 2 AS BIGINT))) AS k)"
+
+
+def _places(tempo: DataFrame, spark, sf_dir) -> DataFrame:
+    """(song_id, k) for every frame up to the one after the song's last event, in blocks."""
+    ticks_ = _song(spark, sf_dir).agg(F.expr("max(exact_t) div 1000").alias("tick"))
+    until = tempo.crossJoin(F.broadcast(ticks_.withColumnRenamed("tick", "end"))).where("tick <= end")  # one row
+    ends = until.agg(F.max_by(F.col("exact_t") + (F.col("end") - F.col("tick")) * F.col("us"), "tick").alias("x"))
+    block = ends.select(F.expr(f"x div {_STEP} + 1").alias("last")).select("last", F.explode(F.expr("sequence(0L, last div 4096)")).alias("b"))
+    return block.select(F.lit("s").alias("song_id"), F.explode(F.expr("sequence(b * 4096, least(last, b * 4096 + 4095))")).alias("k"))
+
+
+@query(f", {_ANCHORS}, {_PLACES} SELECT k.k, a.us, a.tick + (k.k * {_STEP} - a.exact_t) // a.us AS tick FROM k ASOF JOIN an a ON a.exact_t <= k.k * {_STEP}")
 def j2_asof_time(spark, sf_dir):
-    rows = spark.range(2000).select(F.lit("s").alias("song_id"), F.col("id").alias("k"), (F.col("id") * 480000000000).alias("at"))
-    dim = _tempo(spark, sf_dir).select("song_id", F.col("exact_t").alias("seg"), F.struct("tick", "us", "exact_t").alias("tempo"))
+    tempo = materialize(_tempo(spark, sf_dir))
+    rows = _places(tempo, spark, sf_dir).withColumn("at", F.col("k") * _STEP)
+    dim = tempo.select("song_id", F.col("exact_t").alias("seg"), F.struct("tick", "us", "exact_t").alias("tempo"))
     got = asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg", 1 << 45)
     return got.select("k", F.col("tempo.us").alias("us"), F.expr("tempo.tick + (at - tempo.exact_t) div tempo.us").alias("tick"))
 
 
-@query(f", {_ANCHORS} SELECT k.k, a.us FROM (SELECT k, (k + 1) * 480000000000 AS at FROM range(0, 2000) g(k)) k ASOF JOIN an a ON a.exact_t <= k.at")
+@query(f", {_ANCHORS}, {_PLACES} SELECT k.k, a.us FROM k ASOF JOIN an a ON a.exact_t <= (k.k + 1) * {_STEP}")
 def j3_asof_frame_end(spark, sf_dir):
-    rows = spark.range(2000).select(F.lit("s").alias("song_id"), F.col("id").alias("k"), ((F.col("id") + 1) * 480000000000).alias("at"))
-    dim = _tempo(spark, sf_dir).select("song_id", F.col("exact_t").alias("seg"), F.struct("us").alias("tempo"))
+    tempo = materialize(_tempo(spark, sf_dir))
+    rows = _places(tempo, spark, sf_dir).withColumn("at", (F.col("k") + 1) * _STEP)
+    dim = tempo.select("song_id", F.col("exact_t").alias("seg"), F.struct("us").alias("tempo"))
     return asof(rows, F.col("at"), dim, "seg", ["tempo"], ["song_id"], "seg", 1 << 45).select("k", F.col("tempo.us").alias("us"))
 
 
-_METER = """, mt AS (SELECT exact_t // 1000000 AS tick, 2 + seq % 6 AS num FROM ev WHERE event_type = 'signup' AND seq % 50 = 0),
+_METER = """, mt AS (SELECT tick, 2 + seq % 6 AS num FROM (SELECT exact_t // 1000000 AS tick, arg_max(seq, seq) AS seq FROM ev WHERE event_type = 'signup' GROUP BY 1)),
 m0 AS (SELECT tick, num FROM mt UNION ALL SELECT 0, 4 WHERE NOT EXISTS (SELECT 1 FROM mt WHERE tick = 0)),
 m1 AS (SELECT * FROM (SELECT *, lag(num) OVER (ORDER BY tick) AS prior FROM m0) WHERE prior IS NULL OR prior <> num),
 m2 AS (SELECT *, tick - lag(tick) OVER (ORDER BY tick) AS d, lag(num) OVER (ORDER BY tick) AS pn FROM m1),
@@ -272,7 +289,7 @@ ms AS (SELECT tick, num, CAST(coalesce(sum((d + 479) // 480) OVER (ORDER BY tick
 def _meter(spark, sf_dir):
     from .plans.maps import meter_map
 
-    rows = _song(spark, sf_dir).where("event_type = 'signup' and seq % 50 = 0")
+    rows = _song(spark, sf_dir).where("event_type = 'signup'")
     changes = rows.select(F.lit("s").alias("song_id"), F.expr("exact_t div 1000000").alias("tick"), (F.lit(2) + F.col("seq") % 6).cast("int").alias("num"), F.lit(2).alias("dd"), F.lit(0).alias("track_idx"), "seq")
     return meter_map(changes, spark.createDataFrame([("s", 480)], "song_id string, ppqn int"))
 
@@ -293,7 +310,18 @@ def j4_asof_meter(spark, sf_dir):
     return _longs(got.select("seq", "num", place["beat"].alias("beat"), place["measure"].alias("measure"), place["measure_beat"].alias("measure_beat")), "seq", "num", "beat", "measure", "measure_beat")
 
 
-QUERIES["w12_beat_measure"], ORACLES["w12_beat_measure"] = j4_asof_meter, ORACLES["j4_asof_meter"]
+@query(f"""{_METER}, en AS (SELECT max(exact_t) // 1000000 AS t FROM ev), la AS (SELECT *, lead(tick) OVER (ORDER BY tick) AS nx FROM ms)
+SELECT la.tick, la.num, beats + (coalesce(nx, en.t) - 1 - la.tick) // 480 + 1 AS last_beat, measures + (coalesce(nx, en.t) - 1 - la.tick) // (480 * la.num) + 1 AS last_measure FROM la, en WHERE la.tick < en.t""")
+def w12_beat_measure(spark, sf_dir):
+    """The last beat and measure of each stretch of one time signature, at the tick before the next or the song's end."""
+    from .plans.maps import meter_place
+
+    ends = _song(spark, sf_dir).agg(F.expr("max(exact_t) div 1000000").alias("end"))
+    order = Window.partitionBy("song_id").orderBy("tick")
+    segs = _meter(spark, sf_dir).withColumn("next", F.lead("tick").over(order)).crossJoin(F.broadcast(ends)).where("tick < end")  # one row
+    rows = segs.withColumn("seg_tick", F.col("tick")).withColumn("at", F.coalesce("next", "end") - 1)
+    place = meter_place(F.col("at"), F.col("at") + 1)
+    return _longs(rows.select("tick", "num", place["beat"].alias("last_beat"), place["measure"].alias("last_measure")), "tick", "num", "last_beat", "last_measure")
 
 
 @query("SELECT day, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, 1 AS n FROM lineitem UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 1 FROM orders) GROUP BY 1", base=False)
@@ -341,9 +369,15 @@ def p12_tick_guard(spark, sf_dir):
     return _song(spark, sf_dir).agg(F.sum((F.col("exact_t") > (1 << 28)).cast("long")).alias("beyond"))
 
 
-@query("SELECT event_type, count(*) AS n FROM ev WHERE x <> 0 GROUP BY 1")
+_KIND = "CASE ((l_orderkey * 7 + l_linenumber * 31) % 128 + 128) // 16 WHEN 8 THEN 'off' WHEN 9 THEN 'on' WHEN 10 THEN 'touch' WHEN 11 THEN 'cc' WHEN 12 THEN 'program' WHEN 13 THEN 'pressure' WHEN 14 THEN 'bend' ELSE 'system' END"
+
+
+@query(f"SELECT {_KIND} AS kind, ((l_orderkey * 7 + l_linenumber * 31) % 128 + 128) % 16 AS channel, count(*) AS n FROM lineitem GROUP BY ALL", base=False)
 def p4_classify(spark, sf_dir):
-    return _song(spark, sf_dir).where("x <> 0").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Kinds and channels of status bytes."""
+    status = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 31) % 128 + 128
+    kind, channel = ticks.status_kind(status)
+    return _table(spark, sf_dir, "lineitem").groupBy(kind.alias("kind"), channel.cast("long").alias("channel")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT seq, 60000000.0::DOUBLE / (250000 + (seq % 8) * 125000) AS bpm FROM ev")
@@ -364,15 +398,16 @@ def f2_pad(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.pad(F.col("o_orderkey").cast("string"), 4).alias("shown"))
 
 
-@query("SELECT c_custkey, length(CAST(greatest(CAST(trunc(c_acctbal) AS BIGINT), 0) AS VARCHAR)) AS width, greatest(5000 - CAST(trunc(c_acctbal) AS BIGINT), 0) AS rest, CAST(trunc(c_acctbal) AS BIGINT) AS secs FROM customer", base=False)
+@query("SELECT c_custkey, length(CAST(greatest(CAST(trunc(c_acctbal) AS BIGINT), 0) AS VARCHAR)) AS width, greatest(5000 - CAST(trunc(c_acctbal) AS BIGINT), 0) AS rest, CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) AS secs FROM customer", base=False)
 def f3_widths(spark, sf_dir):
     whole = F.col("c_acctbal").cast("long")
-    return _table(spark, sf_dir, "customer").select("c_custkey", text.digits(whole).cast("long").alias("width"), text.remaining(F.lit(5000), whole).cast("long").alias("rest"), whole.alias("secs"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.digits(whole).cast("long").alias("width"), text.remaining(F.lit(5000), whole).cast("long").alias("rest"), text.seconds(F.col("c_acctbal")).alias("secs"))
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || {_COMMAS.format('CAST(abs(CAST(trunc(c_acctbal) AS BIGINT)) AS VARCHAR)')} AS shown FROM customer WHERE abs(c_acctbal) >= 1", base=False)
+@query(f"SELECT c_custkey, CASE WHEN trunc(c_acctbal) < 0 THEN '-' ELSE '' END || {_COMMAS.format('CAST(abs(CAST(trunc(c_acctbal) AS BIGINT)) AS VARCHAR)')} AS shown FROM customer", base=False)
 def f5_signed(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").where("abs(c_acctbal) >= 1").select("c_custkey", text.signed(F.col("c_acctbal").cast("long"), True).alias("shown"))
+    """Ticks are whole numbers: what cuts to 0 has no sign."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.signed(F.col("c_acctbal").cast("long"), True).alias("shown"))
 
 
 @query("SELECT DISTINCT l_quantity, format('{:.2f}', 60000000.0 / (l_quantity * 10007)) AS bpm FROM lineitem", base=False)
@@ -452,10 +487,15 @@ def p8_zero_cells(spark, sf_dir):
     return _cells(spark, sf_dir).agg(F.count("*").alias("cells"), F.sum((F.col("delta") != 0).cast("long")).alias("moving"))
 
 
-@query("SELECT exact_t, 2 * ons AS ons, 2 * delta AS delta, 2 * cc AS cc FROM ce")
+@query("""SELECT exact_t, CAST(sum(ons) AS BIGINT) AS ons, CAST(sum(delta) AS BIGINT) AS delta, CAST(sum(cc) AS BIGINT) AS cc FROM (
+SELECT exact_t, ons, delta, cc FROM ce UNION ALL SELECT exact_t, 2 * ons, delta, 0 FROM ce WHERE ons > 1 UNION ALL SELECT unnest(range(0, (SELECT max(exact_t) FROM ce) + 1, 3600000000)), 1, 0, 2) GROUP BY 1""")
 def a17_merge_sparse(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    return ticks.merge_sum([cells, cells], ["exact_t"], ["ons", "delta", "cc"])
+    """Dense cells, sparse ones at some of the same places, and a folded run of equal cells, added up."""
+    cells = materialize(_cells(spark, sf_dir))
+    sparse = cells.where("ons > 1").select("song", "exact_t", (2 * F.col("ons")).alias("ons"), "delta", F.lit(0).cast("long").alias("cc"))
+    last = cells.agg(F.max("exact_t").alias("m"))
+    runs = last.select(F.lit(0).cast("long").alias("start"), F.lit(S).alias("step"), F.expr(f"m div {S} + 1").alias("count"), F.lit(1).cast("long").alias("ons"), F.lit(0).cast("long").alias("delta"), F.lit(2).cast("long").alias("cc"))
+    return ticks.merge_sum([cells.drop("song"), sparse.drop("song"), ticks.expand_series(runs, "exact_t").select("exact_t", "ons", "delta", "cc")], ["exact_t"], ["ons", "delta", "cc"])
 
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_nationkey <> 7, n_name) AS place FROM nation", base=False)
