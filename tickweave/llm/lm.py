@@ -109,10 +109,22 @@ class Words:
 
 
 def vocabulary(counts: DataFrame) -> Words:
-    """Words of the corpus from its counts (h, c). The driver gets TOP words and one row for each dealt class: their number
-    is that of the remaining tokens divided by SHARD."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "h").limit(TOP).collect()
+    """Words of the corpus from its counts (h, c).
+
+    Frequent words are those of the highest counts, in steps of a sixteenth of an octave, that are TOP together at most.
+    The driver gets them, one row for each step, and one for each dealt class: their number is that of the remaining
+    tokens divided by SHARD.
+    """
+    step = F.floor(F.log2("c") * 16)
+    steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.sum("c").alias("t")).collect(), reverse=True)
+    total, distinct = sum(r["t"] for r in steps), sum(r["n"] for r in steps)
+    room, least = TOP, math.inf
+    for r in steps:
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["s"]
+    top = sorted(counts.where(step >= F.lit(least)).collect(), key=lambda r: (-r["c"], r["h"]))
     hashes, c = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64)
     bands = np.floor(np.log2(np.arange(len(top)) + 1.0)).astype(np.int64)
     order = np.argsort(hashes)
