@@ -320,3 +320,51 @@ def test_lookups_and_counters_over_many_buckets(spark):
     df = spark.createDataFrame(changes, "s string, t long, x long")
     one, two = (ticks.held(df, ["s"], ["t"], width=w).select("s", "t", "held", "delta") for w in (None, 23))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_data_source_and_table_function(spark, tmp_path):
+    from tickweave.sources import datasource
+
+    datasource.register(spark)
+    (tmp_path / "a.mid").write_bytes(TEMPO2)
+    (tmp_path / "b.mid.gz").write_bytes(gzip.compress(TEMPO2))
+    (tmp_path / "c.txt").write_bytes(b"nothing")
+    load = lambda **options: spark.read.format("midi").options(**options).load(str(tmp_path))
+    got = load(bytesPerPartition=1)
+    assert got.rdd.getNumPartitions() == 3 + 1 + 1 and got.count() == 6
+    want = midi.read_tracks(spark, str(tmp_path)).select("track_idx", "bytes").collect()
+    assert sorted(map(tuple, got.select("track_idx", "bytes").collect())) == sorted(map(tuple, want))
+    assert [r["error"] for r in load(mode="rows").where("error is not null").collect()] == ["ValueError: not a MIDI file"]
+    assert load().where("track_idx = 1").count() == 2
+    with pytest.raises(Exception, match="not a MIDI file"):
+        load(mode="fail").count()
+    got.createOrReplaceTempView("tracks")
+    rows = spark.sql("SELECT song_id, track_idx, d.* FROM tracks, LATERAL decode_track(bytes) d")
+    plain = midi.read_events(got)
+    columns = ["song_id", "track_idx", "seq", "tick", "kind", "channel", "key", "value", "us", "num", "dd"]
+    assert sorted(map(str, rows.select(*columns).collect())) == sorted(map(str, plain.select(*columns).collect()))
+
+
+def test_frames_written_and_counted(spark, tmp_path):
+    from tickweave import sinks
+
+    tracks, events = decoded(spark, TEMPO2, TEMPO2)
+    watched, seen = sinks.counted(events)
+    assert watched.count() == events.count() and seen.get == {"events": 20, "notes": 8, "cc": 0, "tracks": 6, "last_tick": 2640}
+    whole = frames.from_events(events, tracks)
+    want = sorted(whole.collect())
+    for kind in ("parquet", "csv"):
+        sinks.write_frames(whole, str(tmp_path / kind), kind)
+        back = sinks.read_frames(spark, str(tmp_path / kind), whole.schema, kind).select(*whole.columns)
+        assert sorted(back.collect()) == want and len(list((tmp_path / kind).glob("song_id=*"))) == 2
+
+
+def test_ticks_beyond_the_specification(spark):
+    far = b"".join(vlq((1 << 28) - 1) + ON(60) for _ in range(3))
+    tracks, events = decoded(spark, song(480, b"MTrk" + len(far).to_bytes(4, "big") + far))
+    small = events.withColumn("tick", F.col("tick") % 5000)
+    for spec in ("proceed", "bins"):
+        assert frames.guarded(events, spec).count() == 4
+        assert frames.summary(frames.from_events(small, tracks, spec=spec)).first()["notes"] == 3
+    with pytest.raises(Exception, match="beyond the specification"):
+        frames.guarded(events, "fail").select("tick").collect()

@@ -25,15 +25,20 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def materialize(df: DataFrame, *spent: DataFrame) -> DataFrame:
+#: Bytes of the tables read that go into one file of a small table.
+FILE_BYTES = 32 << 20
+
+
+def materialize(df: DataFrame, *spent: DataFrame, small: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
 
-    Tables behind ``spent``, frames that materialize() returned and nothing needs once df is written, are deleted then;
+    A small table comes in few files, one for each FILE_BYTES of what it reads, not one for each shuffle partition; its
+    last step then runs in so many tasks. Tables behind ``spent``, frames that materialize() returned and nothing needs once df is written, are deleted then;
     the others go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tickweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(partitions_for(df, FILE_BYTES, 1)) if small else df).write.parquet(path)
     store, place = _place(spark, path)
     store.deleteOnExit(place)
     for frame in spent:
