@@ -17,16 +17,16 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     not matter; no edges give no rows.
     """
     canonical = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = held = materialize(canonical(edges))
+    now = held = materialize(canonical(edges), small=True)
     before = None
     for _ in range(limit):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        minima = least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        minima = least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), small=True)
         large = canonical(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        step = materialize(canonical(small))
+        step = materialize(canonical(small), small=True)
         state = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         discard(minima)
         discard(held)

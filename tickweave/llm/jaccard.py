@@ -310,7 +310,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # ceil(n * percent / 100) tokens or more must be shared for the prefix to hold a shared token
     whole = whole.where(F.expr(f"n - m < n - (n * {percent} + 99) div 100 + 1")).select("key", "n", "s")
     lists = "tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
-    able = materialize(whole.mapInArrow(_assemble(percent), f"key long, n long, {lists}"))
+    able = materialize(whole.mapInArrow(_assemble(percent), f"key long, n long, {lists}"), small=True)
 
     posts = able.select("key", "n", F.explode("p1").alias("token"))
     first = posts.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -318,12 +318,12 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the prefixes of a pair meet first; whole lists only go to pairs that share tokens under all orders
     heads = able.select(F.col("key").alias("pivot"), F.col("n").alias("n0"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
     near = F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0) and arrays_overlap(p2, q2) and arrays_overlap(p3, q3)")
-    pairs = materialize(group.where("key <> pivot").join(able.select("key", "n", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near")))
+    pairs = materialize(group.where("key <> pivot").join(able.select("key", "n", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near")), small=True)
     whole = pairs.where("near").join(able.select("key", "tokens"), "key").join(able.select(F.col("key").alias("pivot"), F.col("tokens").alias("t0")), "pivot")
     both = F.size(F.array_intersect("tokens", "t0")).cast("long")
     linked = whole.select("pivot", "key", "n", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
     star = linked.unionByName(pairs.where("not near").select("pivot", "key", "n", F.lit(False).alias("linked")))
-    star = materialize(star, pairs)
+    star = materialize(star, pairs, small=True)
     open_ = F.when(F.col("linked"), 0).otherwise(1)
     sizes = star.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(open_).alias("r"), F.sum("n").alias("tg"), F.sum(F.col("n") * open_).alias("tr")).where("g > 1 and r > 0")
     blocks_of = lambda rows, size: F.expr(f"greatest(({rows} + {BLOCK} - 1) div {BLOCK}, ({size} + {BLOCK_TOKENS} - 1) div {BLOCK_TOKENS})")
@@ -341,7 +341,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     joined = named.join(least, "component").select("key", "component_id")
     # written, so that both sides of the last join are plain exchanges, which AQE splits where one class has very many members
-    label = materialize(classes.join(joined, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
+    label = materialize(classes.join(joined, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), small=True)
     return members.join(label, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -355,16 +355,16 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     own_id, own_mark = unused(docs.columns, "id", "mark")
     marked = docs.select("*", F.col(id_col).cast("long").alias(own_id), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(own_mark))
-    rows = materialize(marked.select(F.col(own_id).alias("id"), F.col(own_mark).alias("mark")).groupBy("id", "mark").agg(F.count("*").alias("times")))
+    rows = materialize(marked.select(F.col(own_id).alias("id"), F.col(own_mark).alias("mark")).groupBy("id", "mark").agg(F.count("*").alias("times")), small=True)
     texts = marked.select(F.col(own_mark).alias("mark"), F.col(text_col).alias("text"))
     classes = jaccard_classes(texts, id_col="mark", text_col="text", width=width, percent=percent).where("n_shingles > 0")
-    component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("component")).withColumnRenamed("doc_id", "mark"))
+    component = materialize(classes.groupBy("doc_id").agg(F.min("component_id").alias("component")).withColumnRenamed("doc_id", "mark"), small=True)
     # written, so that both sides are plain exchanges, which AQE splits where one text has very many ids
-    placed = materialize(rows.join(component, "mark"), rows, component)
+    placed = materialize(rows.join(component, "mark"), rows, component, small=True)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
     first = placed.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.mark").alias("first_mark"))
     met = placed.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")), "left")
-    verdict = materialize(met.select("id", "mark", "times", F.col("first_mark").isNull().alias("gone")), placed)
+    verdict = materialize(met.select("id", "mark", "times", F.col("first_mark").isNull().alias("gone")), placed, small=True)
     names = unused(marked.columns, "verdict_id", "verdict_mark")
     renamed = lambda which: verdict.where(which).select(F.col("id").alias(names[0]), F.col("mark").alias(names[1]))
     same = F.col(own_id).eqNullSafe(F.col(names[0])) & (F.col(own_mark) == F.col(names[1]))

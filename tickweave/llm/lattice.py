@@ -229,7 +229,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     fit = rows.where("vec is not null and label is not null")
     classes = fit.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
     # the numbers are fixed once the table is written
-    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), small=True)
     table = materialize(classes.select("id", "vec", "label", "m").mapInArrow(_with_cells(kind, tables, blocks, probes, scale), "id long, m long, vec binary, cells array<long>"))
     each = 1 + probes
     visits = table.select("id", F.posexplode("cells").alias("pos", "cell")).select("id", "cell", F.expr(f"pos div {each}").cast("int").alias("t"), (F.col("pos") % each == 0).alias("home"))

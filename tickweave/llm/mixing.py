@@ -100,15 +100,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     table gives an empty result. Other columns are ignored.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    groups = materialize(sized.groupBy("source", "level", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    groups = materialize(sized.groupBy("source", "level", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")), small=True)
     goal = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    goal = materialize(goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))))
+    goal = materialize(goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), small=True)
     running = Window.partitionBy("source").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, -1)
     places = groups.select("source", "level", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
     plan = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("level").alias("l"), F.col("salt").alias("t"), "start", "source_size", "target", "rate")
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id", "mark")))
     both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")) & (F.col("salt") == F.col("t")))
-    placed = materialize(both.select("doc_id", "mark", "source", "size", "source_size", "target", "rate", (F.col("start") + F.col("rank")).alias("place")))
+    placed = materialize(both.select("doc_id", "mark", "source", "size", "source_size", "target", "rate", (F.col("start") + F.col("rank")).alias("place")), small=True)
     offsets = _offsets(placed, goal, seed).withColumnRenamed("source", "s")
     upto = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
     copies = F.least(F.lit(most), upto(F.col("place")) - upto(F.col("place") - 1)).cast("long")
