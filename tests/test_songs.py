@@ -368,3 +368,122 @@ def test_ticks_beyond_the_specification(spark):
         assert frames.summary(frames.from_events(small, tracks, spec=spec)).first()["notes"] == 3
     with pytest.raises(Exception, match="beyond the specification"):
         frames.guarded(events, "fail").select("tick").collect()
+
+
+def _event(rng):
+    time, key, r = vlq(rng.choice([0, 0, 1, 5, 200])), rng.randrange(60, 63), rng.random()
+    plain = [
+        (0.4, lambda: bytes([0x90, key, rng.choice([0, 100])])), (0.65, lambda: bytes([0x80, key, 0])), (0.72, lambda: bytes([key, 100])), (0.78, lambda: b"\xb0\7\1"),
+        (0.84, lambda: tempo(rng.choice([500000, 250000]))), (0.88, lambda: b"\xff\x58\4" + bytes([rng.randrange(1, 7), 2, 24, 8])), (0.92, lambda: b"\xf0\3abc"),
+        (0.95, lambda: b"\xff\1\5words"), (0.97, lambda: b"\xc0\5"), (1.0, lambda: bytes([rng.choice([0xF8, 0xFE, 0xF1, 0xF6])])),
+    ]
+    return time + next(f for limit, f in plain if r <= limit)()
+
+
+def layered_song(rng):
+    """A song's bytes and an archive of its pieces, in one or two layers, with repeats."""
+    tiles = [b"".join(_event(rng) for _ in range(rng.randrange(1, 12))) for _ in range(3)]
+    order = [k for _ in range(rng.randrange(1, 5)) for k in [rng.randrange(3) for _ in range(rng.randrange(1, 4))] * rng.randrange(1, 9)]
+    head, chunk = song(480)[:14], lambda body, more=0: b"MTrk" + max(0, len(body) + more).to_bytes(4, "big")
+    body, kind = b"".join(tiles[k] for k in order), rng.randrange(3)
+    if kind == 0:
+        pieces = [head + chunk(body, rng.choice([0, 0, 3, -2])), *(tiles[k] for k in order)]
+    elif kind == 1:
+        pieces = [head, *(chunk(tiles[k]) + tiles[k] for k in order)]
+    else:
+        whole = head + chunk(body) + body
+        cuts = sorted({0, len(whole), *(rng.randrange(len(whole)) for _ in range(len(whole) // 5))})
+        pieces = [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    packed = [lzma.compress(p, preset=0) for p in pieces]
+    if rng.random() < 0.5:
+        cuts = sorted({0, len(packed), *(rng.randrange(len(packed)) for _ in range(len(packed) // 3))})
+        packed = [lzma.compress(b"".join(packed[a:b]), preset=0) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return b"".join(pieces), b"".join(packed)
+
+
+def plain_song(data, vel0_is_off, close_held):
+    """Cells, the last change of each kind at a tick, last tick and tracks, by a loop over all bytes."""
+    found, changes, last, tracks = {}, {}, 0, midi.tracks(data)[1]
+    for _, _, body in tracks:
+        held, tick = {}, 0
+        for tick, kind, channel, key, value, us, num, dd in plain_decode(body):
+            cell = found.setdefault(tick, [0, 0, 0])
+            on = kind == "on" and (value > 0 or not vel0_is_off)
+            if on:
+                held[channel, key] = held.get((channel, key), 0) + 1
+                cell[0], cell[1] = cell[0] + 1, cell[1] + 1
+            elif kind in ("on", "off") and held.get((channel, key), 0):
+                held[channel, key] -= 1
+                cell[1] -= 1
+            elif kind == "cc":
+                cell[2] += 1
+            elif kind in ("tempo", "timesig"):
+                changes[tick, kind] = (us,) if kind == "tempo" else (num, dd)
+        if close_held:
+            found.setdefault(tick, [0, 0, 0])[1] -= sum(held.values())
+        last = max(last, tick)
+    return {t: tuple(c) for t, c in found.items() if any(c)}, changes, last, len(tracks)
+
+
+def test_layered_archives_against_a_loop():
+    from tickweave.sources import layered
+
+    rng, folded = random.Random(8), 0
+    for case in range(300):
+        data, archive = layered_song(rng)
+        options = rng.random() < 0.7, rng.random() < 0.4
+        try:
+            want = plain_song(data, *options)
+        except ValueError:
+            want = None
+        grammar = layered.Grammar()
+        try:
+            root = grammar.add(archive)
+            got = layered.Walker(grammar, *options).run(root).elements
+        except ValueError:
+            assert want is None, case
+            continue
+        assert grammar.size(root) == len(data) and grammar.decoded <= len(layered.cut(archive)) + sum(len(n) for n in grammar.nodes if isinstance(n, list)) * layered.PERIOD
+        found, changes, last, ends = {}, {}, 0, 0
+        for e in got:
+            folded += bool(e.dims) + (e.times > 1)
+            places = [(e.tick, e.seq)]
+            for step, count, seq_step in e.dims:
+                places = [(t + k * step, s + k * seq_step) for t, s in places for k in range(count)]
+            for t, s in places:
+                if e.kind == "cell":
+                    found[t] = tuple(a + b * e.times for a, b in zip(found.get(t, (0, 0, 0)), e.values, strict=True))
+                elif e.kind == "end":
+                    last, ends = max(last, t), ends + e.times
+                else:
+                    changes[t, e.kind] = max(changes.get((t, e.kind), (0, ())), (s, e.values))
+        assert ({t: c for t, c in found.items() if any(c)}, {k: v for k, (_, v) in changes.items()}, last, ends) == want, case
+    assert folded > 500
+
+
+def test_layered_archives_with_very_many_repeats(spark):
+    from tickweave.sources import layered
+
+    tile = b"".join(b"\1" + ON(60) + b"\2" + OFF(60) + b"\0" + ON(61) for _ in range(50))
+    n = 2000
+    member = lzma.compress(tile, preset=0)
+    block = lzma.compress(member * n, preset=0)
+    head = lzma.compress(song(480)[:14] + b"MTrk" + (len(tile) * n * n).to_bytes(4, "big"), preset=0)
+    many = lzma.compress(head, preset=0) + block * n
+    rng = random.Random(4)
+    pairs = [layered_song(rng) for _ in range(6)]
+    pairs = [p for p in pairs if midi.tracks(p[0])]
+    given = [("many", many)] + [(f"s{k}", a) for k, (_, a) in enumerate(pairs)] + [("plain", TEMPO2), ("gz", gzip.compress(TEMPO2)), ("junk", b"x"), ("cut", member[:-5])]
+    files = spark.createDataFrame([(k, bytearray(f)) for k, f in given], "song_id string, content binary")
+    rows = layered.read_layered(files, mode="rows").cache()
+    assert {r["song_id"] for r in rows.where("error is not null").collect()} == {"junk", "cut"}
+    whole = {r["song_id"]: r for r in layered.totals(rows).collect()}
+    assert (whole["many"]["notes"], whole["many"]["max_tick"], whole["many"]["tracks"]) == (100 * n * n, 150 * n * n, 1)
+    assert rows.where("song_id = 'many'").count() < 1000
+    small = rows.where("song_id like 's%' or song_id in ('plain', 'gz')")
+    plain = spark.createDataFrame([(f"s{k}", bytearray(d)) for k, (d, _) in enumerate(pairs)] + [("plain", bytearray(TEMPO2)), ("gz", bytearray(TEMPO2))], "song_id string, content binary")
+    tracks = midi.split_tracks(plain, "fail")
+    want = ticks.tick_cells(ticks.note_deltas(midi.read_events(tracks)), ["song_id"], "tick").select("song_id", "tick", "ons", "delta", "cc")
+    assert sorted(map(tuple, layered.cells(small).collect())) == sorted(map(tuple, want.collect()))
+    got = layered.layered_frames(small.where("song_id in ('s0', 'plain')")).orderBy("song_id", "frame_index").collect()
+    assert got == frames.from_events(midi.read_events(tracks), tracks).where("song_id in ('s0', 'plain')").orderBy("song_id", "frame_index").collect()
