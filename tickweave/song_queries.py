@@ -6,14 +6,18 @@ all seconds are exact in doubles and both engines cut them into the same frames.
 
 from __future__ import annotations
 
+import lzma
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import template
+from .functions import layout, template
 from .plans import dedup
 from .plans import frames as plan
 from .queries import _longs_but, _table, query
-from .sources import midi, midi_write
+from .sources import cells, layered, midi, midi_write, settings
 from .store import materialize
 
 PPQN, FPS, TAIL = 512, 60.0, 1.5
@@ -199,3 +203,117 @@ def dd1_tracks(spark, sf_dir):
     wanted = cells.select("song_id", "tick", "ons", "cc")
     every = midi.read_events(_tracks(spark, sf_dir)).where("kind in ('on', 'off', 'cc')").select("song_id", "tick").distinct()
     return every.join(wanted, ["song_id", "tick"], "left").na.fill(0, ["ons", "cc"])
+
+
+def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files cut into pieces of 300 bytes, each an xz stream, and rows of those in streams again."""
+    for batch in batches:
+        for song, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            inner = [lzma.compress(content[a : a + 300], preset=0) for a in range(0, len(content), 300)]
+            outer = b"".join(lzma.compress(b"".join(inner[a : a + 7]), preset=0) for a in range(0, len(inner), 7))
+            yield pa.RecordBatch.from_arrays([pa.array([song]), pa.array([outer], pa.binary())], names=["song_id", "content"])
+
+
+@query(f"WITH {_FRAMES} SELECT CAST(song AS VARCHAR) AS song_id, tick, CAST(ons AS BIGINT) AS ons, CAST(delta AS BIGINT) AS delta, CAST(cc AS BIGINT) AS cc FROM c0", base=False)
+def dd4_layered(spark, sf_dir):
+    """Tick cells of the songs, read from archives in two layers of xz streams."""
+    archives = midi_write.write_songs(_events(spark, sf_dir), PPQN).mapInArrow(_layers, "song_id string, content binary")
+    return layered.cells(materialize(layered.read_layered(archives, mode="fail")))
+
+
+_CELLS = f"""{_EVENTS},
+x0 AS (SELECT song, tick, CAST(sum(CAST(kind = 'on' AS INT)) AS BIGINT) AS ons, CAST(sum(CAST(kind = 'off' AS INT)) AS BIGINT) AS offs FROM e WHERE kind IN ('on', 'off') GROUP BY ALL),
+x1 AS (SELECT *, sum(ons - offs) OVER (PARTITION BY song ORDER BY tick) AS s FROM x0),
+x2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY song ORDER BY tick)) AS held FROM x1)"""
+
+
+@query(f"WITH {_CELLS} SELECT CAST(song AS VARCHAR) || '.cjcmcg' AS song_id, tick, ons, CAST(held - coalesce(lag(held) OVER (PARTITION BY song ORDER BY tick), 0) AS BIGINT) AS delta FROM x2", base=False)
+def s13_cells(spark, sf_dir):
+    """Cell files written from the songs' note counts and read again; note-offs saturate over the whole song."""
+    counts = _events(spark, sf_dir).where("kind in ('on', 'off')").groupBy("song_id", "tick").agg(F.count(F.when(F.col("kind") == "on", 1)).alias("ons"), F.count(F.when(F.col("kind") == "off", 1)).alias("offs"))
+    ends = counts.groupBy("song_id").agg(F.max("tick").alias("last"), F.sum("ons").alias("notes"))
+    grid = ends.select("song_id", F.explode(F.expr("sequence(0L, last)")).alias("tick"))
+    table = grid.join(counts, ["song_id", "tick"], "left").na.fill(0, ["ons", "offs"])
+    body = table.withColumn("hex", F.concat(midi_write.number(F.col("ons")), midi_write.number(F.col("offs"))))
+    body = body.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tick", "hex"))), lambda x: x["hex"]), "").alias("hex"))
+    head = F.concat(F.lit(f"{PPQN:08X}" + "0" * 16), midi_write.number(F.col("notes")), F.lpad(F.hex(F.col("last") + 1), 8, "0"))
+    files = body.join(ends, "song_id").select(F.concat("song_id", F.lit(".cjcmcg")).alias("song_id"), F.unhex(F.concat(head, "hex")).alias("content"))
+    rows = materialize(cells.read_cells(files, mode="fail"))
+    return cells.cell_deltas(rows).select("song_id", "tick", "ons", "delta")
+
+
+_SETS = " || ".join(f"CASE WHEN (c_custkey >> {k}) & 1 = 1 THEN ' ss{k + 1:02d}' ELSE '' END" for k in range(20))
+
+
+@query(
+    f"""SELECT c_custkey, ltrim(CASE WHEN c_custkey % 2 = 0 THEN '-kern' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN ' -liga' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ' zero' ELSE '' END
+|| CASE c_custkey % 4 WHEN 1 THEN ' lnum' WHEN 2 THEN ' onum' ELSE '' END || CASE c_custkey % 7 WHEN 1 THEN ' pnum' WHEN 2 THEN ' tnum' ELSE '' END || {_SETS} || CASE WHEN c_custkey % 6 = 0 THEN ' salt -dlig' ELSE '' END) AS features FROM customer""",
+    base=False,
+)
+def f18_features(spark, sf_dir):
+    """Font features of typography options made from customers' keys."""
+    key = F.col("c_custkey")
+    extra = F.when(key % 6 == 0, "salt,; -dlig not!one").otherwise("")
+    found = layout.features(key % 2 != 0, key % 3 != 0, key % 5 == 0, key % 4, key % 7, key, extra)
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(found, " ").alias("features"))
+
+
+@query("SELECT o_orderkey, CAST(least(CAST(o_orderkey AS HUGEINT) * 10000000000000000, 9223372036854775807) AS BIGINT) AS held FROM orders", base=False)
+def f24_saturate(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", layout.saturated(F.col("o_orderkey").cast("decimal(38,0)") * F.lit(10**16).cast("decimal(20,0)")).alias("held"))
+
+
+def _sql_place(own: str, at: str, size: str, room: str, far: str, near: str) -> str:
+    start, wide = f"(CASE WHEN whole THEN 0.0::DOUBLE ELSE {at} END)", f"(CASE WHEN whole THEN {room}::DOUBLE ELSE {size} END)"
+    low, high, middle = f"({start} + margin)", f"({start} + {wide} - margin)", f"({start} + {wide} / 2)"
+    low, high = f"(CASE WHEN {high} < {low} THEN {middle} ELSE {low} END)", f"(CASE WHEN {high} < {low} THEN {middle} ELSE {high} END)"
+    x = f"(CASE WHEN anchor IN {far} THEN {high} - {own} WHEN anchor IN {near} THEN ({low} + {high}) / 2 - {own} / 2 ELSE {low} END)"
+    x = f"(CASE WHEN {own} <= {wide} THEN greatest({start}, least({x}, {start} + {wide} - {own})) ELSE {x} END)"
+    return f"CASE WHEN {own} + 4 > {room} THEN 2.0::DOUBLE ELSE greatest(2.0::DOUBLE, least({x}, {room} - {own} - 2)) END"
+
+
+_BLOCKS = """b AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 97 * 13 + 5 AS DOUBLE) AS w, CAST(l_orderkey % 89 * 7 + 5 AS DOUBLE) AS h, l_orderkey % 9 + 1 AS anchor, CAST(l_linenumber * 40 AS DOUBLE) AS bx, CAST(l_linenumber * 30 AS DOUBLE) AS "by",
+  CAST(l_orderkey % 5 * 150 AS DOUBLE) AS bw, CAST(l_orderkey % 7 * 60 AS DOUBLE) AS bh, CAST(l_orderkey % 11 * 8 AS DOUBLE) AS margin, l_orderkey % 5 * (l_orderkey % 7) = 0 AS whole FROM lineitem)"""
+
+
+@query(f"""WITH {_BLOCKS} SELECT l_orderkey, l_linenumber, {_sql_place("w", "bx", "bw", "800", "(3, 6, 9)", "(2, 5, 8)")} AS x, {_sql_place("h", '"by"', "bh", "600", "(1, 2, 3)", "(4, 5, 6)")} AS y FROM b""", base=False)
+def l1_place(spark, sf_dir):
+    """Blocks made from line items, placed in their boxes."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    real = lambda c: c.cast("double")
+    x, y = layout.place(real(key % 97 * 13 + 5), real(key % 89 * 7 + 5), key % 9 + 1, (real(line * 40), real(line * 30), real(key % 5 * 150), real(key % 7 * 60)), (F.lit(800.0), F.lit(600.0)), real(key % 11 * 8), F.lit(2.0))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
+
+
+@query(
+    f"""WITH {_BLOCKS}, r AS (SELECT *, CASE WHEN 800 - 2 * margin > 0 THEN 800 - 2 * margin ELSE 800 END AS aw, CASE WHEN 600 - 2 * margin > 0 THEN 600 - 2 * margin ELSE 600 END AS ah FROM b),
+s AS (SELECT anchor, min(least((aw - 2) / w, (ah - 2) / h)) AS f FROM r GROUP BY 1) SELECT anchor, CASE WHEN f < 1 THEN greatest(0.01::DOUBLE, f * 0.98::DOUBLE) ELSE 1.0::DOUBLE END AS scale FROM s""",
+    base=False,
+)
+def l3_fit_scale(spark, sf_dir):
+    """One scale for all blocks of an anchor."""
+    key = F.col("l_orderkey")
+    real = lambda c: c.cast("double")
+    scale = layout.fit_scale(real(key % 97 * 13 + 5), real(key % 89 * 7 + 5), F.lit(800.0), F.lit(600.0), real(key % 11 * 8), F.lit(2.0))
+    return _table(spark, sf_dir, "lineitem").groupBy((key % 9 + 1).alias("anchor")).agg(scale.alias("scale"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE (CASE WHEN l_linenumber % 4 BETWEEN 1 AND 3 THEN l_linenumber % 4 + 6 ELSE l_orderkey % 9 + 1 END) % 3 WHEN 0 THEN CAST(500 - l_orderkey % 400 AS DOUBLE) WHEN 2 THEN (500 - l_orderkey % 400) / 2::DOUBLE ELSE 0.0::DOUBLE END AS shift FROM lineitem", base=False)
+def l2_line_offset(spark, sf_dir):
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layout.line_offset(F.lit(500.0), (key % 400).cast("double"), key % 9 + 1, line % 4).alias("shift"))
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS file, least(CASE WHEN c_acctbal <= 0 THEN 60.0::DOUBLE ELSE c_acctbal END, 1000.0::DOUBLE) AS fps, CASE WHEN c_custkey % 70 > 51 THEN 18 ELSE CAST(c_custkey % 70 AS INT) END AS x264_crf,
+CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS dedup_mode, least(greatest(CAST(c_nationkey * 300 - 900 AS DOUBLE), 0.0::DOUBLE), 3600.0::DOUBLE) AS end_delay, 3.0::DOUBLE AS start_delay, c_custkey % 3 = 0 AS log_open, c_name AS midi_dir FROM customer""",
+    base=False,
+)
+def s19_settings(spark, sf_dir):
+    """Settings files made from customers, read, typed and clamped."""
+    key = F.col("c_custkey")
+    show = lambda name, c: F.concat(F.lit(f"{name} = "), c.cast("string"))
+    lines = [F.lit("# head"), show("fps", F.col("c_acctbal").cast("decimal(20,2)")), show("x264_crf", key % 70), show("track_dedup", F.when(key % 2 == 0, "yes").otherwise("no")), show("end_delay", F.col("c_nationkey") * 300 - 900), show("log_open", F.when(key % 3 == 0, "true").otherwise("off")), show("midi_dir", F.col("c_name"))]
+    files = _table(spark, sf_dir, "customer").select(key.cast("string").alias("file"), F.concat_ws("\n", *lines).alias("text"))
+    found = settings.settings(settings.parse_settings(files))
+    return found.select("file", "fps", "x264_crf", "dedup_mode", "end_delay", "start_delay", "log_open", "midi_dir")
