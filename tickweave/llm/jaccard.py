@@ -313,12 +313,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     able = materialize(whole.mapInArrow(_assemble(percent), f"key long, n long, {lists}"), small=True)
 
     posts = able.select("key", "n", F.explode("p1").alias("token"))
-    first = posts.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    group = posts.join(first, "token").select("pivot", "key").distinct()
-    # the prefixes of a pair meet first; whole lists only go to pairs that share tokens under all orders
-    heads = able.select(F.col("key").alias("pivot"), F.col("n").alias("n0"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
-    near = F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0) and arrays_overlap(p2, q2) and arrays_overlap(p3, q3)")
-    pairs = materialize(group.where("key <> pivot").join(able.select("key", "n", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near")), small=True)
+    least = F.min(F.struct(F.col("key").alias("pivot"), F.col("n").alias("n0")))
+    first = posts.groupBy("token").agg(least.alias("least"), F.count("*").alias("c")).where("c > 1").select("token", "least.*")
+    # sizes are known before anything else is sent; then the other prefixes of a pair meet, and whole lists only go to
+    # pairs that share tokens under all orders
+    group = posts.join(first, "token").where("key <> pivot").select("pivot", "key", "n", "n0").distinct()
+    sized = group.withColumn("sized", F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0)"))
+    heads = able.select(F.col("key").alias("pivot"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
+    near = F.expr("arrays_overlap(p2, q2) and arrays_overlap(p3, q3)")
+    met = sized.where("sized").join(able.select("key", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near"))
+    pairs = materialize(met.unionByName(sized.where("not sized").select("pivot", "key", "n", "n0", F.lit(False).alias("near"))), small=True)
     whole = pairs.where("near").join(able.select("key", "tokens"), "key").join(able.select(F.col("key").alias("pivot"), F.col("tokens").alias("t0")), "pivot")
     both = F.size(F.array_intersect("tokens", "t0")).cast("long")
     linked = whole.select("pivot", "key", "n", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
