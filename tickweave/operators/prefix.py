@@ -57,30 +57,25 @@ def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
 def closed_window(df: DataFrame, keys: list[str], time: str, columns: dict[str, str], width) -> DataFrame:
     """Add exact sums over the closed window [time - width, time]; width is a number or a column that is constant within keys.
 
-    Each row is copied into the next bucket of one width, and the window runs inside a bucket: it reaches one bucket back
-    at most, so the copies complete it. Rows at one time all see each other.
+    The sums run inside buckets of one width. A row enters its own bucket and the next one, which its window reaches,
+    and leaves that just after its time and one width: a running sum of what enters and leaves, whatever a window holds.
+    Rows at one time all see each other.
     """
-    copies = copied(df, time, width)
-    # RANGE offsets must be literals, so a width that differs between keys needs what left the window: see window_sums
-    summed = window_sums(copies, [*keys, "__bucket"], time, columns, width, df.columns)
-    return summed.where("__k = 0").drop("__k", "__bucket", "__w")
+    summed = window_sums(moves(df, time, width), [*keys, "__bucket"], columns)
+    return summed.where("__k = 0").drop("__k", "__bucket", "__t", "__sign")
 
 
-def copied(df: DataFrame, time: str, width) -> DataFrame:
-    """Rows in their bucket of one width (__k 0) and in the next one (__k 1), with __bucket and __w, the width."""
+def moves(df: DataFrame, time: str, width) -> DataFrame:
+    """Three rows for each: __bucket of one width, __t and __sign; __k is 0 for the row itself, 1 for what it does in the next bucket."""
     size = F.lit(width) if isinstance(width, int) else width
-    bucket = F.floor(F.col(time) / F.col("__w")).cast("bigint")
-    return df.withColumn("__w", size).withColumn("__k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__k"))
-
-
-def window_sums(copies: DataFrame, keys: list[str], time: str, columns: dict[str, str], width, own: list[str]) -> DataFrame:
-    """Sums over [time - __w, time] within keys, for rows of copied(); every column of ``own`` and the copies' stay."""
-    if isinstance(width, int):
-        over = Window.partitionBy(*keys).orderBy(time).rangeBetween(-width, 0)
-        return copies.select("*", *(F.sum(c).over(over).alias(n) for n, c in columns.items()))
-    # subtract the running sum of what left the window: a row leaves just after its time and one width
-    put = F.array(F.struct(F.col(time).alias("t"), F.lit(1).alias("sign")), F.struct((F.col(time) + F.col("__w") + 1).alias("t"), F.lit(-1).alias("sign")))
-    both = copies.withColumn("__put", F.explode(put))
-    over = Window.partitionBy(*keys).orderBy("__put.t").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.select("*", *(F.sum(F.col(c) * F.col("__put.sign")).over(over).alias(n) for n, c in columns.items()))
-    return summed.where("__put.sign = 1").drop("__put")
+    at = F.col(time)
+    bucket = F.floor(at / size).cast("bigint")
+    move = lambda k, t, sign: F.struct(F.lit(k).alias("k"), t.cast("bigint").alias("t"), F.lit(sign).alias("sign"))
+    put = df.withColumn("__put", F.explode(F.array(move(0, at, 1), move(1, at, 1), move(1, at + size + 1, -1))))
+    return put.select(*df.columns, F.col("__put.k").alias("__k"), (bucket + F.col("__put.k")).alias("__bucket"), F.col("__put.t").alias("__t"), F.col("__put.sign").alias("__sign"))
+
+
+def window_sums(moved: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Sums of what has entered and not left, for rows of moves()."""
+    over = Window.partitionBy(*keys).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    return moved.select("*", *(F.sum(F.col(c) * F.col("__sign")).over(over).alias(n) for n, c in columns.items()))

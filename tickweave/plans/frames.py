@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import bucketed, copied, window_sums
+from ..operators.prefix import bucketed, moves, window_sums
 from ..store import materialize
 from .maps import asof, meter_map, meter_place, tempo_map
 
@@ -41,16 +41,15 @@ def grid(cells: DataFrame, ends: DataFrame, keys: list[str], lag: int, time: str
 def swept(cells: DataFrame, keys: list[str], time: str, second) -> DataFrame:
     """Cells with running sums, the running peaks and the closed window of one ``second``: cum, cum_cc, poly, peak_poly, nps, cps, peak_nps, peak_cps.
 
-    One pass over buckets of a second, into which the bucket before is copied, gives the windows and the running values
-    inside a bucket; they are written once, and what the buckets before come to is added. cells are read once.
+    One pass over buckets of a second gives the windows and the running values inside a bucket; they are written once, and
+    what the buckets before come to is added. cells have one row for each time; they are read once.
     """
-    copies = copied(cells, time, second)
-    bucket = [*keys, "__bucket"]
+    moved, bucket = moves(cells, time, second), [*keys, "__bucket"]
     own = lambda c: F.when(F.col("__k") == 0, F.col(c)).otherwise(0)
-    upto = Window.partitionBy(*bucket).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    summed = window_sums(copies, bucket, time, {"nps": "ons", "cps": "cc"}, second, cells.columns)
+    upto = Window.partitionBy(*bucket).orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+    summed = window_sums(moved, bucket, {"nps": "ons", "cps": "cc"})
     local = summed.select("*", *(F.sum(own(c)).over(upto).alias(n) for n, c in (("cum", "ons"), ("cum_cc", "cc"), ("poly", "delta")))).where("__k = 0")
-    local = local.select("*", *(F.max(c).over(upto).alias(n) for n, c in (("peak_poly", "poly"), ("peak_nps", "nps"), ("peak_cps", "cps")))).drop("__k", "__w")
+    local = local.select("*", *(F.max(c).over(upto).alias(n) for n, c in (("peak_poly", "poly"), ("peak_nps", "nps"), ("peak_cps", "cps")))).drop("__k", "__t", "__sign")
     # seconds are short: their totals are carried over wider buckets first
     local = materialize(local)
     totals = {"t_ons": F.sum("ons"), "t_cc": F.sum("cc"), "t_delta": F.sum("delta"), "t_poly": F.max("peak_poly"), "t_nps": F.max("peak_nps"), "t_cps": F.max("peak_cps")}
@@ -65,7 +64,7 @@ def _with_carry(local: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame
     zero = lambda c: F.coalesce(c, F.lit(0))
     part = wide.select(*keys, "wide", "__bucket", "t_ons", "t_cc", "t_delta", "t_poly", "t_nps", "t_cps", *(zero(F.sum(c).over(inside)).alias(n) for n, c in (("p_ons", "t_ons"), ("p_cc", "t_cc"), ("p_delta", "t_delta"))))
     # a bucket's peak stands on what was held before it
-    part = materialize(part.withColumn("t_poly", F.col("t_poly") + F.col("p_delta")).select("*", *(F.max(c).over(inside).alias(n) for n, c in (("p_poly", "t_poly"), ("p_nps", "t_nps"), ("p_cps", "t_cps")))))
+    part = part.withColumn("t_poly", F.col("t_poly") + F.col("p_delta")).select("*", *(F.max(c).over(inside).alias(n) for n, c in (("p_poly", "t_poly"), ("p_nps", "t_nps"), ("p_cps", "t_cps"))))
     totals = {"w_ons": F.sum("t_ons"), "w_cc": F.sum("t_cc"), "w_delta": F.sum("t_delta"), "w_poly": F.max("t_poly"), "w_nps": F.max("t_nps"), "w_cps": F.max("t_cps")}
     tops = part.groupBy(*keys, "wide").agg(*(c.alias(n) for n, c in totals.items()))
     before = Window.partitionBy(*keys).orderBy("wide").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,10 +108,12 @@ def frames(deltas: DataFrame, tempo_changes: DataFrame, meter_changes: DataFrame
     With bins, for very long songs, cells are added up in eighths of a frame first and peaks are those of the bins.
     """
     keys = ["song_id"]
-    # every table that several steps read is written once
-    songs = materialize(songs.select("song_id", "ppqn", "max_tick"))
-    tempo = materialize(tempo_map(tempo_changes, songs))
-    meter = materialize(meter_map(meter_changes, songs))
+    # what several steps read is written once: the songs, then both maps as one table
+    songs = materialize(songs.select("song_id", "ppqn", "max_tick"), small=True)
+    tempo, meter = tempo_map(tempo_changes, songs), meter_map(meter_changes, songs)
+    named = lambda df, name: df.select(F.lit(name).alias("map"), *df.columns)
+    maps = materialize(named(tempo, "tempo").unionByName(named(meter, "meter"), allowMissingColumns=True), small=True)
+    tempo, meter = (maps.where(F.col("map") == name).select(*df.columns) for name, df in (("tempo", tempo), ("meter", meter)))
     cells = deltas.groupBy("song_id", "tick").agg(*(F.sum(c).cast("long").alias(c) for c in ("ons", "delta", "cc"))).where("ons <> 0 or delta <> 0 or cc <> 0")
     tempo_named = tempo.select("song_id", F.col("tick").alias("seg"), F.struct(F.col("tick").alias("t0"), "us", "time_sec", "exact_t").alias("tempo"))
     at = asof(cells.join(songs.select("song_id", "ppqn"), "song_id"), F.col("tick"), tempo_named, "seg", ["tempo"], keys, "seg")
@@ -195,7 +196,8 @@ def from_events(events: DataFrame, tracks: DataFrame, fps: float = 60.0, end_del
     """
     from ..operators.ticks import note_deltas
 
-    events = materialize(guarded(events, spec))
+    if spec == "fail" or not hasattr(events, "_tickweave_path"):  # not written yet
+        events = materialize(guarded(events, spec))
     deltas = note_deltas(events, vel0_is_off, close_held)
     tempo = events.where("kind = 'tempo'").select("song_id", "tick", "us", "track_idx", "seq")
     meter = events.where("kind = 'timesig'").select("song_id", "tick", "num", "dd", "track_idx", "seq")

@@ -101,9 +101,10 @@ def _swept(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    song = materialize(_song(spark, sf_dir))
-    ends = song.agg(F.lit(0).alias("song"), F.expr(f"max(exact_t) div {FRAME} + 1").alias("last_frame"))
-    swept = frame_plan.swept(ticks.tick_cells(adapter.deltas(song), ["song"], "exact_t"), ["song"], "exact_t", S)
+    events = _table(spark, sf_dir, "events")
+    first, last = adapter.span(events)
+    swept = frame_plan.swept(ticks.tick_cells(adapter.deltas(adapter.adapt(events, first)), ["song"], "exact_t"), ["song"], "exact_t", S)
+    ends = spark.range(1).select(F.lit(0).alias("song"), F.lit((last - first) // FRAME + 1).cast("long").alias("last_frame"))
     return frame_plan.grid(swept.withColumn("frame", F.expr(f"exact_t div {FRAME}")), ends, ["song"], LAG, "exact_t")
 
 

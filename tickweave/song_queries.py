@@ -51,7 +51,7 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tracks = materialize(_tracks(spark, sf_dir))
-    return materialize(midi.read_events(tracks)), tracks
+    return materialize(midi.read_events(tracks), small=True), tracks
 
 
 @query(
