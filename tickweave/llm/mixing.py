@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from ..store import materialize, unused
 
-#: Places of the random offset, and the share of a target within which a source's offsets count as equally near it.
-OFFSETS, NEAR = 1024, 0.001
-#: Rows that are ranked together at most, on average; a size class of a source is dealt to at least SALTS groups.
+#: Places of the random offset, orders of the groups to try them in, and the share of a target within which draws count as equally near it.
+OFFSETS, ORDERS, NEAR = 1024, 8, 0.001
+#: Rows that are ranked together at most, on average; a source is dealt to at least SALTS groups.
 RANKED, SALTS = 1 << 20, 64
 
 
@@ -23,13 +23,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, mark (a hash of the text), source, size and the place in the sampling order: size class and salt."""
+    """doc_id, mark (a hash of the text), source, size and the group in the sampling order, which is one of hashes."""
     text = F.col(text_col).cast("string")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _mark(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
     sized = materialize(plain.mapInArrow(_sizes, "doc_id long, mark long, source string, size long"))
     salts = max(SALTS, -(-sized.count() // RANKED))
-    level = F.floor(F.log(F.col("size") + F.lit(1.0)) * 16).cast("int")
-    return sized.select("*", level.alias("level"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int").alias("salt"))
+    return sized.select("*", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int").alias("salt"))
 
 
 def _mark(text_col: str):
@@ -59,30 +58,31 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return rate.select("source", "source_size", F.when(F.col("first").isNull(), limit).otherwise(F.least(limit, F.col("first") * F.col("w"))).alias("target"))
 
 
-def _offsets(placed: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
-    """(source, offset): each source's random offset, drawn by the seed from those of a grid that bring its words nearest to the target.
+def _draws(ranked: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """(source, turn, offset): each source's order of groups and random offset, drawn by the seed from those that bring its words nearest to the target.
 
     A document's copies are one more than the whole part of its rate while the offset lies in one arc of the circle. So
     the words taken at all offsets are the running sums of two steps for each document, of which a source has a row for
-    each place of the grid.
+    each order and place of the grid.
     """
     share = F.col("rate") - F.floor("rate")
-    begin = F.pmod(1 - share - F.pmod((F.col("place") - 1) * F.col("rate"), F.lit(1.0)), F.lit(1.0))
+    begin = F.pmod(1 - share - F.pmod((F.col("start") + F.col("rank") - 1) * F.col("rate"), F.lit(1.0)), F.lit(1.0))
     first, last = F.ceil(begin * OFFSETS).cast("int"), F.ceil((begin + share) * OFFSETS).cast("int")
     # an arc beyond the circle's end goes on at its start
     step = lambda at, sign: F.struct(at.alias("at"), (F.lit(sign) * F.col("size")).alias("step"))
     wraps = F.when(last > OFFSETS, F.array(step(F.lit(0), 1), step(last - OFFSETS, -1))).otherwise(F.array().cast("array<struct<at:int,step:bigint>>"))
-    steps = placed.where("size > 0").select("source", F.explode(F.concat(F.array(step(first, 1), step(last, -1)), wraps)).alias("s")).select("source", "s.at", "s.step")
-    steps = steps.groupBy("source", "at").agg(F.sum("step").alias("step"))
-    grid = goal.select("source", "source_size", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("at"))
-    names = {"source": "s", "at": "a"}
-    met = grid.join(steps.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("s")) & (F.col("at") == F.col("a")), "left")
-    upto = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    tried = ranked.where("size > 0").select("source", "size", "rate", "rank", F.posexplode("starts").alias("turn", "start"))
+    steps = tried.select("source", "turn", F.explode(F.concat(F.array(step(first, 1), step(last, -1)), wraps)).alias("s")).select("source", "turn", "s.at", "s.step")
+    steps = steps.groupBy("source", "turn", "at").agg(F.sum("step").alias("step"))
+    grid = goal.select("source", "source_size", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("turn")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
+    names = {"source": "s", "turn": "t", "at": "a"}
+    met = grid.join(steps.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("t")) & (F.col("at") == F.col("a")), "left")
+    upto = Window.partitionBy("source", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     taken = F.floor("rate") * F.col("source_size") + F.sum(F.coalesce("step", F.lit(0))).over(upto)
     miss = F.abs(taken - F.col("target")) / F.greatest("target", F.lit(1.0))
-    drawn = F.struct(F.greatest(miss, F.lit(NEAR)).alias("miss"), F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), "at").alias("draw"), "at")
+    drawn = F.struct(F.greatest(miss, F.lit(NEAR)).alias("miss"), F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), "turn", "at").alias("draw"), "turn", "at")
     best = met.select("source", drawn.alias("drawn")).groupBy("source").agg(F.min("drawn").alias("drawn"))
-    return best.select("source", (F.col("drawn.at") / F.lit(float(OFFSETS))).alias("offset"))
+    return best.select("source", "drawn.turn", (F.col("drawn.at") / F.lit(float(OFFSETS))).alias("offset"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
@@ -100,19 +100,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     table gives an empty result. Other columns are ignored.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    groups = materialize(sized.groupBy("source", "level", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")), small=True)
+    groups = materialize(sized.groupBy("source", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")), small=True)
     goal = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goal = materialize(goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), small=True)
-    running = Window.partitionBy("source").orderBy("level", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    places = groups.select("source", "level", "salt", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
-    plan = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("level").alias("l"), F.col("salt").alias("t"), "start", "source_size", "target", "rate")
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "level", "salt").orderBy("size", "doc_id", "mark")))
-    both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")) & (F.col("salt") == F.col("t")))
-    placed = materialize(both.select("doc_id", "mark", "source", "size", "source_size", "target", "rate", (F.col("start") + F.col("rank")).alias("place")), small=True)
-    offsets = _offsets(placed, goal, seed).withColumnRenamed("source", "s")
+    tried = groups.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    running = Window.partitionBy("source", "turn").orderBy(F.xxhash64(F.lit(seed), "turn", "salt"), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    places = tried.select("source", "salt", "turn", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("start"))
+    places = places.groupBy("source", "salt").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "start"))), lambda x: x["start"]).alias("starts"))
+    plan = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("salt").alias("t"), "starts", "source_size", "target", "rate")
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("source", "salt").orderBy(F.xxhash64(F.lit(seed), "mark", "doc_id"), "doc_id", "mark")))
+    both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("t")))
+    ranked = materialize(both.select("doc_id", "mark", "source", "size", "source_size", "target", "rate", "rank", "starts"), small=True)
+    draws = _draws(ranked, goal, seed).withColumnRenamed("source", "s")
+    placed = ranked.join(draws, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", F.element_at("starts", F.col("turn") + 1) + F.col("rank"))
     upto = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
     copies = F.least(F.lit(most), upto(F.col("place")) - upto(F.col("place") - 1)).cast("long")
-    sampled = placed.join(offsets, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
+    sampled = placed.withColumn("copies", copies)
     return sampled.select("doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
