@@ -60,3 +60,34 @@ def test_series_expands_to_its_cells(spark):
     runs = ticks.series(df, ["s"], "t", ["v"])
     assert runs.count() < len(rows)
     assert sorted((r["s"], r["t"], r["v"]) for r in ticks.expand_series(runs, "t").collect()) == rows
+
+
+def test_crc_of_texts(spark):
+    import zlib
+
+    got = {r["doc_id"]: r["crc"] for r in queries.f21_crc32(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert got == {r["doc_id"]: zlib.crc32(r["text"].encode()) for r in docs}
+
+
+def test_effects_of_blocks_in_a_row(spark):
+    rng = random.Random(6)
+    blocks = [[rng.choice([1, -1]) for _ in range(rng.randrange(1, 9))] for _ in range(40)]
+
+    def effect(xs):
+        low = net = 0
+        for x in xs:
+            net += x
+            low = min(low, net)
+        return -low, net
+
+    rows = [(*effect(a), *effect(b), *effect(a + b)) for a, b in zip(blocks, blocks[1:], strict=False)]
+    df = spark.createDataFrame(rows, "d1 int, n1 int, d2 int, n2 int, d int, n int")
+    d, n = ticks.concat_effect((F.col("d1"), F.col("n1")), (F.col("d2"), F.col("n2")))
+    assert df.where((d != F.col("d")) | (n != F.col("n"))).count() == 0
+
+
+def test_plans_read_the_table_once_or_twice(spark):
+    plan = queries.frames_full(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan  # the last step reads written tables alone
+    assert queries.a1_tick_cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation ") <= 2
