@@ -487,3 +487,25 @@ def test_layered_archives_with_very_many_repeats(spark):
     assert sorted(map(tuple, layered.cells(small).collect())) == sorted(map(tuple, want.collect()))
     got = layered.layered_frames(small.where("song_id in ('s0', 'plain')")).orderBy("song_id", "frame_index").collect()
     assert got == frames.from_events(midi.read_events(tracks), tracks).where("song_id in ('s0', 'plain')").orderBy("song_id", "frame_index").collect()
+
+
+def test_xz_blocks(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    from tickweave.sources import xz
+
+    rng = random.Random(2)
+    data = TEMPO2 + bytes(rng.randrange(4) for _ in range(40_000))
+    files = [lzma.compress(data), lzma.compress(data, check=lzma.CHECK_SHA256) + lzma.compress(b"more"), lzma.compress(data, check=lzma.CHECK_NONE) + bytes(8), data, b""]
+    want = [data, data + b"more", data, data, b""]
+    if shutil.which("xz"):
+        many = subprocess.run(["xz", "-c", "--block-size=5000"], input=data, capture_output=True, check=True).stdout
+        assert len(xz.blocks(many)) == -(-len(data) // 5000)
+        files, want = [*files, many], [*want, data]
+    given = spark.createDataFrame([(str(k), bytearray(f)) for k, f in enumerate(files)], "song_id string, content binary")
+    got = {int(r["song_id"]): bytes(r["content"]) for r in xz.unpack_blocks(given, 3).collect()}
+    assert [got[k] for k in range(len(files))] == want
+    with pytest.raises(ValueError, match="other filters"):
+        packed = lzma.compress(data, filters=[{"id": lzma.FILTER_DELTA, "dist": 1}, {"id": lzma.FILTER_LZMA2}])
+        xz.unpack_block(packed[12 : 12 + xz.blocks(packed)[0][1]], 8)
