@@ -319,11 +319,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # pairs that share tokens under all orders
     group = posts.join(first, "token").where("key <> pivot").select("pivot", "key", "n", "n0").distinct()
     sized = group.withColumn("sized", F.expr(f"100 * least(n, n0) >= {percent} * greatest(n, n0)"))
-    heads = able.select(F.col("key").alias("pivot"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
+    # both sides of a pair are the same projection of the table but for names, so that one exchange serves both; lists
+    # and pairs are not broadcast while they are few: the plan is one at every size
+    side = lambda *names: able.select(*(F.col(c).alias(n) for c, n in names)).hint("merge")
     near = F.expr("arrays_overlap(p2, q2) and arrays_overlap(p3, q3)")
-    met = sized.where("sized").join(able.select("key", "p2", "p3"), "key").join(heads, "pivot").select("pivot", "key", "n", "n0", near.alias("near"))
+    met = sized.where("sized").join(side(("key", "own"), ("p2", "p2"), ("p3", "p3")), F.col("key") == F.col("own")).join(side(("key", "head"), ("p2", "q2"), ("p3", "q3")), F.col("pivot") == F.col("head"))
+    met = met.select("pivot", "key", "n", "n0", near.alias("near"))
     pairs = materialize(met.unionByName(sized.where("not sized").select("pivot", "key", "n", "n0", F.lit(False).alias("near"))), small=True)
-    whole = pairs.where("near").join(able.select("key", "tokens"), "key").join(able.select(F.col("key").alias("pivot"), F.col("tokens").alias("t0")), "pivot")
+    whole = pairs.where("near").join(side(("key", "own"), ("tokens", "tokens")), F.col("key") == F.col("own")).join(side(("key", "head"), ("tokens", "t0")), F.col("pivot") == F.col("head"))
     both = F.size(F.array_intersect("tokens", "t0")).cast("long")
     linked = whole.select("pivot", "key", "n", (F.lit(100) * both >= percent * (F.col("n") + F.col("n0") - both)).alias("linked"))
     star = linked.unionByName(pairs.where("not near").select("pivot", "key", "n", F.lit(False).alias("linked")))
