@@ -195,7 +195,7 @@ def test_decoder_against_a_loop():
         if k % 5 == 2:
             body = b"\0\x91" + low(2) + low(3 * n) + body
         if k % 5 == 3:
-            body = b"".join(bytes([0x80 | rng.randrange(9)]) + low(1) + b"\x90" + low(2) for _ in range(n)) + body
+            body = b"".join(bytes(0x80 | rng.randrange(9) for _ in range(k % 4)) + low(1) + b"\x90" + low(2) for _ in range(n)) + body
         if k % 5 == 4:
             body = b"\0\xC0\5" + b"".join(b"\0\x80" + low(2) + bytes([0x81]) + low(3) for _ in range(n)) + body
         assert list(midi.decode(body)) == plain_decode(body)

@@ -131,10 +131,10 @@ _TWO[0x80:0xC0] = _TWO[0xE0:0xF0] = True
 
 
 def _run(data: np.ndarray, at: int, status: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Events in a row with times of one or of two bytes and two data bytes, with a status each or all with the held one:
-    their size, times, statuses, keys and values; size 0 if there are fewer than _LEAST."""
+    """Events in a row with times of as many bytes and two data bytes, with a status each or all with the held one: their
+    size, times, statuses, keys and values; size 0 if there are fewer than _LEAST."""
     held = 0x80 <= status < 0xF0 and status >> 4 not in (12, 13)
-    for wide in (1, 2):
+    for wide in range(1, 5):
         for own in (1, 0) if held else (1,):
             stride = wide + own + 2
             piece = data[at : at + stride * _WINDOW]
@@ -142,14 +142,16 @@ def _run(data: np.ndarray, at: int, status: int) -> tuple[int, np.ndarray, np.nd
                 continue
             rows = piece[: len(piece) // stride * stride].reshape(-1, stride)
             good = (rows[:, wide - 1] < 0x80) & (rows[:, -2] < 0x80) & (rows[:, -1] < 0x80)
-            if wide == 2:
-                good &= rows[:, 0] >= 0x80
+            for k in range(wide - 1):
+                good &= rows[:, k] >= 0x80
             if own:
                 good &= _TWO[rows[:, wide]]
             k = len(good) if good.all() else int(good.argmin())
             if k >= _LEAST:
                 rows = rows[:k]
-                times = rows[:, 0].astype(np.int64) if wide == 1 else (rows[:, 0].astype(np.int64) & 0x7F) << 7 | rows[:, 1]
+                times = np.zeros(k, np.int64)
+                for c in range(wide):
+                    times = times << 7 | (rows[:, c] & 0x7F)
                 return stride * k, times, rows[:, wide] if own else np.full(k, status, np.uint8), rows[:, -2], rows[:, -1]
     none = np.empty(0, np.uint8)
     return 0, none, none, none, none
