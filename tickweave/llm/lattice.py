@@ -90,6 +90,8 @@ def cells(unit: np.ndarray, salt: np.ndarray, tables: int, blocks: int, probes:
 
 
 def _with_cells(kind: str, tables: int, blocks: int, probes: int, scale: float):
+    """Vectors to their cells. Holds one Arrow batch with its cells, and for one table the gains of stepping to 240 neighbours of each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec, label = batch.column(1).to_pylist(), batch.column(2).to_pylist()

@@ -398,6 +398,7 @@ def _deal(words: Words, w: np.ndarray):
     """Blocks of documents to their events for each shard, by word, and one row of the documents with what the class level says.
 
     An event is its word (once for all of a word's events), the contexts' hashes and its row, with a high bit if held out.
+    Holds the tokens of one block, BLOCK_BYTES of text or one longer text, and some fifteen arrays of their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

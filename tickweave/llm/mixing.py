@@ -18,6 +18,7 @@ RANKED, SALTS = 1 << 20, 64
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their numbers of words, about 4 MB of text at a time."""
     for batch in batches:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(K.word_counts(batch.column(3)))], names=["doc_id", "mark", "source", "size"])
 

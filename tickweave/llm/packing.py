@@ -118,6 +118,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...], overhead: float =
 
 
 def _pack(capacities: tuple[int, ...], overhead: float, square: float, window: int):
+    """Texts to bins. Holds the word counts and ids of one window's pieces, and about 4 MB of text while its words are counted."""
     names = ["bin_id", "capacity", "used", "doc_ids", "starts", "lengths"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _score(model: Model, threshold: float):
+    """Texts to scores. Holds the passage features of about 2 MB of text, or of one longer text: some 5 MB for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.empty(batch.num_rows)

@@ -114,6 +114,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _pack(ranks, pattern: str, end: int, length: int, window: int):
+    """Texts to rows of ids. Holds the ids of one window's pieces, window * length at most, about 4 MB of text while it is encoded, and REMEMBERED spans."""
     names = ["bin_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts", "resets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

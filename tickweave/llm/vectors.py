@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors to bytes, null where they take no part. Holds one Arrow batch twice."""
     for batch in batches:
         col = batch.column(1)
         ends, values = col.offsets.to_numpy(), col.values
