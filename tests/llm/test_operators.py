@@ -585,12 +585,12 @@ def test_lattice_with_repeated_and_null_ids(spark):
 
 def test_lattice_cells_of_two_lengths_in_one_block():
     x = [np.array([1.0] * n) for n in (4, 8)]
-    cell = np.array([5], np.int64)
-    rows = [(5, 0, 0, 0, 0, True, k, 1, x[k % 2].tobytes(), cell) for k in range(4)]
+    cell = np.array([5], np.int32)
+    rows = [(5 << 32, 0, 0, 0, 0, True, k, 1, x[k % 2].tobytes(), cell) for k in range(4)]
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f"c{k}" for k in range(10)])
-    out = [tuple(r.values()) for b in lattice._compare("<f8", 1, 0.93)(iter([batch])) for r in b.to_pylist()]
+    out = [tuple(r.values()) for b in lattice._compare("<f8", 0.93)(iter([batch])) for r in b.to_pylist()]
     assert sorted((a, b) for a, b, w in out if b is not None) == [(0, 2), (1, 3)]
 
 

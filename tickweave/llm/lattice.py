@@ -111,7 +111,7 @@ def _with_cells(kind: str, tables: int, blocks: int, probes: int, scale: float):
     return run
 
 
-def _compare(kind: str, tables: int, threshold: float):
+def _compare(kind: str, threshold: float):
     """Rows sorted by (cell, bi, bj) to link counts (a = vector, w = links, b null) and spanning edges (a, b, w null).
 
     Holds one block: at most SIDE vectors, on average, of each side with their cells.
@@ -142,7 +142,8 @@ def _compare(kind: str, tables: int, threshold: float):
             return counts, edges
         stack = lambda rows, k, type_: np.frombuffer(b"".join(r[k] for r in rows), type_).reshape(len(rows), -1)
         xl, xr = unit(stack(left, 3, kind)), unit(stack(right, 3, kind))
-        cl, cr = (np.stack([r[4] for r in rows]).reshape(len(rows), tables, -1) for rows in (left, right))
+        cl, cr = (np.stack([r[4] for r in rows]).reshape(len(rows), t + 1, -1) for rows in (left, right))
+        half = np.int32(cell >> 32)
         ids, m, home = (np.array([r[k] for r in right]) for k in (1, 2, 0))
         got = np.zeros(len(right), np.int64)
         parent: dict[int, int] = {}
@@ -169,7 +170,7 @@ def _compare(kind: str, tables: int, threshold: float):
             rows = np.arange(len(at))
             hm, ht = cl[i][first, 0], theirs[rows, first, 0]
             where = np.where(there[rows, first] & here[rows, first], np.minimum(hm, ht), np.where(there[rows, first], ht, hm))
-            at = at[(first == t) & (where == cell)]  # each pair counts once: in the first table that finds it, in one cell
+            at = at[(first == t) & (where == half)]  # each pair counts once: in the first table that finds it, in one cell
             if not len(at):
                 continue
             counts[row[1]] = counts.get(row[1], 0) + int(m[at].sum())
@@ -239,9 +240,11 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     dealt = visits.join(alive, ["cell", "t"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")))
     dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     dealt = dealt.select("cell", F.least("own", "x").alias("bi"), F.greatest("own", "x").alias("bj"), "t", "own", "home", "id")
-    full = dealt.join(table, "id").select("cell", "bi", "bj", "t", "own", "home", "id", "m", "vec", "cells")
+    # whether a pair was found before is told by half of each hash, of the tables up to this one
+    told = F.transform(F.slice("cells", F.lit(1), (F.col("t") + 1) * each), lambda c: F.shiftright(c, 32).cast("int"))
+    full = dealt.join(table, "id").select("cell", "bi", "bj", "t", "own", "home", "id", "m", "vec", told.alias("cells"))
     full = full.repartition(partitions_for(dealt, PARTITION_BYTES), "cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "t", "id")
-    found = materialize(full.mapInArrow(_compare(kind, tables, threshold), "a long, b long, w long"), table)
+    found = materialize(full.mapInArrow(_compare(kind, threshold), "a long, b long, w long"), table)
     linked = components(found.where("b is not null").select("a", "b"))
     count = found.where("w is not null").groupBy("a").agg(F.sum("w").alias("w"))
     named = classes.select("id", "least", "m").join(linked, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
