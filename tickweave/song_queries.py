@@ -80,7 +80,8 @@ _FRAMES = f"""{_EVENTS},
 n0 AS (SELECT song, trk, tick, seq, CASE WHEN kind = 'on' AND val > 0 THEN 1 ELSE -1 END AS x FROM e WHERE kind IN ('on', 'off')),
 n1 AS (SELECT *, sum(x) OVER (PARTITION BY trk ORDER BY tick, seq) AS s FROM n0),
 n2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY trk ORDER BY tick, seq)) AS held FROM n1),
-n3 AS (SELECT song, tick, CAST(x > 0 AS BIGINT) AS ons, held - coalesce(lag(held) OVER (PARTITION BY trk ORDER BY tick, seq), 0) AS delta, 0 AS cc FROM n2 UNION ALL SELECT song, tick, 0, 0, 1 FROM e WHERE kind = 'cc'),
+n3 AS (SELECT song, tick, CAST(x > 0 AS BIGINT) AS ons, held - coalesce(lag(held) OVER (PARTITION BY trk ORDER BY tick, seq), 0) AS delta, 0 AS cc
+  FROM n2 UNION ALL SELECT song, tick, 0, 0, 1 FROM e WHERE kind = 'cc'),
 c0 AS (SELECT song, tick, sum(ons) AS ons, sum(delta) AS delta, sum(cc) AS cc FROM n3 GROUP BY ALL HAVING sum(ons) <> 0 OR sum(delta) <> 0 OR sum(cc) <> 0),
 so AS (SELECT song, max(tick) AS max_tick FROM e GROUP BY song),
 t0 AS (SELECT song, tick, arg_max(us, trk * 1000000000 + seq) AS us FROM e WHERE kind = 'tempo' GROUP BY ALL),
@@ -91,16 +92,20 @@ m0 AS (SELECT song, tick, arg_max({{'num': num, 'dd': dd}}, trk * 1000000000 + s
 m1 AS (SELECT song, tick, s.num AS num, s.dd AS dd FROM m0 UNION ALL SELECT song, 0, 4, 2 FROM so WHERE song NOT IN (SELECT song FROM m0 WHERE tick = 0)),
 m2 AS (SELECT * FROM (SELECT *, lag(num) OVER w AS pn, lag(dd) OVER w AS pd FROM m1 WINDOW w AS (PARTITION BY song ORDER BY tick)) WHERE pn IS NULL OR pn <> num OR pd <> dd),
 m3 AS (SELECT *, (tick - lag(tick) OVER w) * (1 << lag(dd) OVER w) AS span, lag(num) OVER w AS ln FROM m2 WINDOW w AS (PARTITION BY song ORDER BY tick)),
-ms AS (SELECT song, tick, num, dd, CAST(coalesce(sum((span + 2047) // 2048) OVER w, 0) AS BIGINT) AS beats, CAST(coalesce(sum((span + 2048 * ln - 1) // (2048 * ln)) OVER w, 0) AS BIGINT) AS measures FROM m3 WINDOW w AS (PARTITION BY song ORDER BY tick)),
+ms AS (SELECT song, tick, num, dd, CAST(coalesce(sum((span + 2047) // 2048) OVER w, 0) AS BIGINT) AS beats, CAST(coalesce(sum((span + 2048 * ln - 1) // (2048 * ln)) OVER w, 0) AS BIGINT) AS measures
+  FROM m3 WINDOW w AS (PARTITION BY song ORDER BY tick)),
 c1 AS (SELECT c.*, t.x + (c.tick - t.tick) * t.us AS x, CAST(floor((t.ts + CAST(c.tick - t.tick AS DOUBLE) * CAST(t.us AS DOUBLE) * (1.0::DOUBLE / ({PPQN} * 1e6::DOUBLE))) * 60.0::DOUBLE) AS BIGINT) AS k
   FROM c0 c ASOF JOIN tm t ON c.song = t.song AND c.tick >= t.tick),
-c2 AS (SELECT *, sum(delta) OVER (PARTITION BY song ORDER BY x ROWS UNBOUNDED PRECEDING) AS poly, sum(ons) OVER w AS wn, sum(cc) OVER w AS wc FROM c1 WINDOW w AS (PARTITION BY song ORDER BY x RANGE BETWEEN 512000000 PRECEDING AND CURRENT ROW)),
-en AS (SELECT s.song, max_tick, arg_max(t.ts + CAST(max_tick - t.tick AS DOUBLE) * CAST(t.us AS DOUBLE) * (1.0::DOUBLE / ({PPQN} * 1e6::DOUBLE)), t.tick) AS mt FROM so s JOIN tm t ON t.song = s.song AND t.tick <= max_tick GROUP BY ALL),
+c2 AS (SELECT *, sum(delta) OVER (PARTITION BY song ORDER BY x ROWS UNBOUNDED PRECEDING) AS poly, sum(ons) OVER w AS wn, sum(cc) OVER w AS wc
+  FROM c1 WINDOW w AS (PARTITION BY song ORDER BY x RANGE BETWEEN 512000000 PRECEDING AND CURRENT ROW)),
+en AS (SELECT s.song, max_tick, arg_max(t.ts + CAST(max_tick - t.tick AS DOUBLE) * CAST(t.us AS DOUBLE) * (1.0::DOUBLE / ({PPQN} * 1e6::DOUBLE)), t.tick) AS mt
+  FROM so s JOIN tm t ON t.song = s.song AND t.tick <= max_tick GROUP BY ALL),
 gr AS (SELECT song, max_tick, CAST(ceil(mt * 60.0::DOUBLE) AS BIGINT) + 1 AS own, unnest(range(0, CAST(ceil((mt + 1.5::DOUBLE) * 60.0::DOUBLE) AS BIGINT) + 1)) AS k FROM en),
 f0 AS (SELECT song, k, sum(ons) AS ons, sum(cc) AS cc, sum(delta) AS delta, max(poly) AS pk, max(wn) AS wn, max(wc) AS wc FROM c2 GROUP BY ALL),
 f1 AS (SELECT g.*, coalesce(sum(ons) OVER w, 0) AS cum, coalesce(sum(cc) OVER w, 0) AS cum_cc, coalesce(sum(delta) OVER w, 0) AS poly, greatest(0, coalesce(max(pk) OVER w, 0)) AS peak, coalesce(max(wn) OVER w, 0) AS pn, coalesce(max(wc) OVER w, 0) AS pc
   FROM gr g LEFT JOIN f0 f ON f.song = g.song AND f.k = g.k WINDOW w AS (PARTITION BY g.song ORDER BY g.k ROWS UNBOUNDED PRECEDING)),
-f2 AS (SELECT *, cum - coalesce(lag(cum, 60) OVER w, 0) AS nps, cum_cc - coalesce(lag(cum_cc, 60) OVER w, 0) AS cps, CAST(k AS DOUBLE) * (1.0::DOUBLE / 60.0::DOUBLE) AS at, CAST(k + 1 AS DOUBLE) * (1.0::DOUBLE / 60.0::DOUBLE) AS fin FROM f1 WINDOW w AS (PARTITION BY song ORDER BY k)),
+f2 AS (SELECT *, cum - coalesce(lag(cum, 60) OVER w, 0) AS nps, cum_cc - coalesce(lag(cum_cc, 60) OVER w, 0) AS cps, CAST(k AS DOUBLE) * (1.0::DOUBLE / 60.0::DOUBLE) AS at, CAST(k + 1 AS DOUBLE) * (1.0::DOUBLE / 60.0::DOUBLE) AS fin
+  FROM f1 WINDOW w AS (PARTITION BY song ORDER BY k)),
 f3 AS (SELECT f.*, t.tick + CAST(trunc(greatest(0.0::DOUBLE, f.at - t.ts) * ({PPQN} * 1e6::DOUBLE) / t.us) AS BIGINT) AS tick FROM f2 f ASOF JOIN tm t ON f.song = t.song AND f.at >= t.ts),
 f4 AS (SELECT f.*, 60000000.0::DOUBLE / t.us AS bpm, greatest(0, least(f.tick, max_tick - 1)) AS cl FROM f3 f ASOF JOIN tm t ON f.song = t.song AND f.fin >= t.ts),
 fr AS (SELECT CAST(f.song AS VARCHAR) AS song_id, f.k AS frame_index, f.at AS timestamp_sec, CAST(cum AS BIGINT) AS cumulative_notes, CAST(cum_cc AS BIGINT) AS cumulative_cc, CAST(CASE WHEN f.k >= own THEN 0 ELSE nps END AS DOUBLE) AS notes_per_second, CAST(pn AS DOUBLE) AS peak_nps,
