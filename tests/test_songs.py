@@ -461,6 +461,16 @@ def test_layered_archives_against_a_loop():
     assert folded > 500
 
 
+def test_patterns_in_a_sequence():
+    from tickweave.sources.layered import fold
+
+    assert fold([1, 2, 1, 2, 1, 2, 3, 3, 3, 4]) == [((1, 2), 3), ((3,), 3), ((4,), 1)] and fold([]) == []
+    rng = random.Random(1)
+    for _ in range(300):
+        given = [k for _ in range(rng.randrange(5)) for k in [rng.randrange(3) for _ in range(rng.randrange(1, 10))] * rng.randrange(1, 6)]
+        assert [k for pattern, times in fold(given) for _ in range(times) for k in pattern] == given
+
+
 def test_layered_archives_with_very_many_repeats(spark):
     from tickweave.sources import layered
 

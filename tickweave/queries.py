@@ -557,6 +557,12 @@ def l6_changed_frames(spark, sf_dir):
     return _longs(frame_plan.changed(_frames(spark, sf_dir), ["song"], "k", "poly"), "k", "poly")
 
 
+@query("SELECT k, CAST(cum AS BIGINT) AS cum FROM ff WHERE k < 600")
+def o4_prefix_frames(spark, sf_dir):
+    """The first 600 frames: the limit is the operator."""
+    return _longs(_frames(spark, sf_dir).where("k < 600"), "k", "cum")
+
+
 _LINE = "'N:' || " + _COMMAS.format("CAST(cum AS VARCHAR)") + " || ' P:' || CAST(greatest(0, poly) AS VARCHAR) || ' S:' || CAST(peak_nps AS VARCHAR)"
 
 
