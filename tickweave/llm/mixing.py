@@ -63,8 +63,8 @@ def _draws(ranked: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     """(source, turn, offset): each source's order of groups and random offset, drawn by the seed from those that bring its words nearest to the target.
 
     A document's copies are one more than the whole part of its rate while the offset lies in one arc of the circle. So
-    the words taken at all offsets are the running sums of two steps for each document, of which a source has a row for
-    each order and place of the grid.
+    the words taken at all offsets are the running sums of two steps for each document; a source has at most a row for
+    each order and place of the grid, and few where it has few documents.
     """
     share = F.col("rate") - F.floor("rate")
     begin = F.pmod(1 - share - F.pmod((F.col("start") + F.col("rank") - 1) * F.col("rate"), F.lit(1.0)), F.lit(1.0))
@@ -74,12 +74,12 @@ def _draws(ranked: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     wraps = F.when(last > OFFSETS, F.array(step(F.lit(0), 1), step(last - OFFSETS, -1))).otherwise(F.array().cast("array<struct<at:int,step:bigint>>"))
     tried = ranked.where("size > 0").select("source", "size", "rate", "rank", F.posexplode("starts").alias("turn", "start"))
     steps = tried.select("source", "turn", F.explode(F.concat(F.array(step(first, 1), step(last, -1)), wraps)).alias("s")).select("source", "turn", "s.at", "s.step")
-    steps = steps.groupBy("source", "turn", "at").agg(F.sum("step").alias("step"))
-    grid = goal.select("source", "source_size", "target", "rate", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("turn")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
-    names = {"source": "s", "turn": "t", "at": "a"}
-    met = grid.join(steps.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("t")) & (F.col("at") == F.col("a")), "left")
+    # between two steps the words stay the same, so the places of steps, and the first one, are all that differ
+    begins = goal.select("source", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("turn"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("step"))
+    steps = steps.where(F.col("at") < OFFSETS).unionByName(begins).groupBy("source", "turn", "at").agg(F.sum("step").alias("step"))
+    met = steps.withColumnRenamed("source", "s").join(goal, F.col("source").eqNullSafe(F.col("s")))
     upto = Window.partitionBy("source", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    taken = F.floor("rate") * F.col("source_size") + F.sum(F.coalesce("step", F.lit(0))).over(upto)
+    taken = F.floor("rate") * F.col("source_size") + F.sum("step").over(upto)
     miss = F.abs(taken - F.col("target")) / F.greatest("target", F.lit(1.0))
     drawn = F.struct(F.greatest(miss, F.lit(NEAR)).alias("miss"), F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), "turn", "at").alias("draw"), "turn", "at")
     best = met.select("source", drawn.alias("drawn")).groupBy("source").agg(F.min("drawn").alias("drawn"))
